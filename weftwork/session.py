@@ -25,3 +25,13 @@ def cut(df: DataFrame, eager: bool = True) -> DataFrame:
     """``df`` written to the checkpoint folder and read from there: survives lost executors, is computed once."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=eager)
+
+
+def ready(spark: SparkSession, root: str) -> SparkSession:
+    """The session with a checkpoint folder, and workers that find the package at ``root``."""
+    ensure_checkpoint_dir(spark)
+    env = spark.sparkContext.environment
+    paths = env.get("PYTHONPATH", "").split(":")
+    if root not in paths:
+        env["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
+    return spark
