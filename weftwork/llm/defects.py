@@ -284,11 +284,12 @@ def breaks_off(source: str, target: str, langs: str, corpus: Corpus) -> bool:
     missing = [n for n in names if n not in words and n not in run]
     if missing and len(missing) <= 2:
         missing = [n for n in missing if len(n) < 5 or n.isdigit() or not _nearly(n, words)]
-    end = target.rstrip()
+    source, target = " ".join(source.split()), " ".join(target.split())
+    end = target
     usual = corpus.ratio.get(langs, 1.0)
-    ratio = len(end) / max(1.0, len(source.strip()) * usual)
-    closed = bool(_FINAL.search(source.rstrip()))
-    cut = bool(_BROKEN.search(end)) and not _BROKEN.search(source.rstrip())
+    ratio = len(end) / max(1.0, len(source) * usual)
+    closed = bool(_FINAL.search(source))
+    cut = bool(_BROKEN.search(end)) and not _BROKEN.search(source)
     open_end = closed and not _FINAL.search(end)
     last = _NAME.findall(end)[-1:] if end and end[-1].isalnum() else []
     if last and last[0].lower() not in names and ratio < 0.97 and (open_end or not closed) and any(n.startswith(last[0].lower()) and len(n) > len(last[0]) for n in missing):
