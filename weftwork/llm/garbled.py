@@ -20,7 +20,10 @@ import unicodedata
 from collections.abc import Iterator
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -29,46 +32,40 @@ from weftwork.session import cut
 # Encodings in which texts are stored, and in which they are wrongly read.
 SINGLE = ["cp1252", "latin-1", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-5", "mac_cyrillic", "cp1256", "cp874", "iso8859-15"]
 MULTI = ["shift_jis", "euc_jp", "gbk", "big5"]
+_WIDE = frozenset([*MULTI, "utf-8"])
 #: Marks that clean text holds as well.
 COMMON_MARKS = "“”‘’«»„‚‹›–—…·¿¡、。！？（）「」『』：；，।॥؟،؛°№€"
 
-_HI = r"\x{80}-\x{10FFFF}"
 #: Words with letters other than ASCII; runs without ASCII; question marks where letters would stand.
-TOKENS = [
-    rf"(?<![A-Za-z{_HI}])[A-Za-z]*+[{_HI}][A-Za-z{_HI}]*+",
-    rf"[{_HI}]++",
-    r"""(?<![“«„"'?A-Za-z])\?{2,}+(?![”»“"'?!A-Za-z])|(?<![A-Za-z?])(?:[A-Za-z]++\?[A-Za-z?]*+(?<=[A-Za-z?]{2})(?<!(?<!\?)\?)|\?++[A-Za-z][A-Za-z?]*+)""",
-]
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
+_MARKS = re.compile(r"""(?<![“«„"'?A-Za-z])\?{2,}(?![”»“"'?!A-Za-z])|(?<![A-Za-z?])(?:[A-Za-z]+\?[A-Za-z?]*[A-Za-z?]|\?+[A-Za-z][A-Za-z?]*)""")
+#: Slots of the filter over all words of the corpus: a byte each goes to every task, 2 MiB whatever the corpus.
+SLOTS = 1 << 21
 
 
 @lru_cache(None)
-def _reading(encoding: str) -> list[str]:
+def _reading(encoding: str) -> str:
     """What each byte is read as; bytes the encoding leaves open are read as C1 controls."""
-    return [bytes([b]).decode(encoding, "replace").replace("�", chr(b)) for b in range(256)]
+    return "".join(bytes([b]).decode(encoding, "replace").replace("\ufffd", chr(b)) for b in range(256))
 
 
 def read_as(raw: bytes, encoding: str) -> str:
-    if encoding in MULTI or encoding == "utf-8":
+    if encoding in _WIDE:
         return raw.decode(encoding, "replace")
-    table = _reading(encoding)
-    return "".join([table[b] for b in raw])
+    return codecs.charmap_decode(raw, "strict", _reading(encoding))[0]
 
 
 @lru_cache(None)
-def _writing(encoding: str) -> dict[str, int]:
-    return {c: b for b, c in reversed(list(enumerate(_reading(encoding))))}
+def _writing(encoding: str):
+    return codecs.charmap_build(_reading(encoding))
 
 
 def written(text: str, encoding: str) -> bytes | None:
     """The bytes that are read as ``text``, or None."""
     try:
-        if encoding in MULTI or encoding == "utf-8":
-            return text.encode(encoding)
-        table = _writing(encoding)
-        return bytes([table[c] for c in text])
-    except (UnicodeEncodeError, KeyError):
+        return text.encode(encoding) if encoding in _WIDE else codecs.charmap_encode(text, "strict", _writing(encoding))[0]
+    except UnicodeEncodeError:
         return None
 
 
@@ -97,7 +94,7 @@ def restore(text: str, chain: tuple[str, ...]) -> str | None:
         if raw is None:
             return None
         try:
-            text = raw.decode(stored) if stored in MULTI or stored == "utf-8" else read_as(raw, stored)
+            text = raw.decode(stored) if stored in _WIDE else read_as(raw, stored)
         except UnicodeDecodeError:
             return None
     return text
@@ -130,31 +127,48 @@ def oddness(token: str) -> int:
     return cost + 2 * (len(scripts) > 1) + 2 * ("?" in token)
 
 
-_CHAINS = chains()
+def _by_start() -> list[tuple[str, list[tuple[str, ...]]]]:
+    out: dict[str, list[tuple[str, ...]]] = {}
+    for c in chains():
+        out.setdefault(c[0], []).append(c)
+    return list(out.items())
+
+
+_CHAINS = _by_start()
 
 
 def forms(word: str) -> dict[str, tuple[str, ...] | None]:
     """Garbled forms of a word with the first chain that gives each; None for chains that lose text."""
     out: dict[str, tuple[str, ...] | None] = {}
-    for chain in _CHAINS:
-        form = garble(word, chain)
-        if form is None or form == word:
-            continue
-        if form.isascii():
+    for stored, group in _CHAINS:
+        raw = written(word, stored)
+        if raw is None:
             continue
-        if _WORD.fullmatch(form):
-            out.setdefault(form, chain if "�" not in form else None)
-        if chain[0] in MULTI or chain[-1] in MULTI:
-            for run in _RUN.findall(form):
-                if len(run) > 2:
-                    out.setdefault(run, None)
+        once: dict[str, str] = {}
+        for chain in group:
+            if chain[1] not in once:
+                once[chain[1]] = read_as(raw, chain[1])
+            form = once[chain[1]]
+            if len(chain) > 2:
+                form = read_as(form.encode("utf-8"), chain[3])
+            if form == word or form.isascii():
+                continue
+            if form not in out and _WORD.fullmatch(form):
+                out[form] = chain if "\ufffd" not in form else None
+            if chain[0] in MULTI or chain[-1] in MULTI:
+                for run in _RUN.findall(form):
+                    if len(run) > 2:
+                        out.setdefault(run, None)
     raw = word.encode("utf-8")
-    for lost in (raw.decode("ascii", "replace"), re.sub(r"[^\x00-\x7f]", "�", word), re.sub(r"[^\x00-\x7f]", "?", word), written_with_marks(word), raw.decode("cp1252", "ignore")):
+    for lost in (raw.decode("ascii", "replace"), _HIGH.sub("\ufffd", word), _HIGH.sub("?", word), written_with_marks(word), raw.decode("cp1252", "ignore")):
         if lost and lost != word:
             out.setdefault(lost, None)
     return out
 
 
+_HIGH = re.compile(r"[^\x00-\x7f]")
+
+
 def written_with_marks(word: str) -> str:
     """As stored in latin-1 with question marks for what it lacks."""
     return word.encode("latin-1", "replace").decode("latin-1")
@@ -169,41 +183,85 @@ def is_source(word: str) -> bool:
     return True
 
 
-def _table(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    for x in batches:
-        rows = {}
-        for word, n in zip(x.token, x.n):
-            if not is_source(word):
-                continue
-            own, letters = oddness(word), any(c.isalpha() for c in word)
-            for form, chain in forms(word).items():
-                odd = oddness(form)
-                if odd < own or (odd == own and not letters):
+def _slot(token: str) -> int:
+    """As pmod(xxhash64(token), SLOTS) in Spark."""
+    return xxhash.xxh64_intdigest(token, seed=42) & (SLOTS - 1)
+
+
+def table_of(words: DataFrame) -> DataFrame:
+    """(token, word, own, word_n, chain, letters): garbled forms of the clean words that may occur among all words.
+
+    A filter of bounded size drops most forms that no word of the corpus has, before they are shuffled.
+    """
+    taken = np.zeros(SLOTS, np.bool_)
+    slots = words.select(F.pmod(F.xxhash64("token"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()
+    taken[slots.slot.to_numpy()] = True
+    shared = words.sparkSession.sparkContext.broadcast(taken)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        taken = shared.value
+        for x in batches:
+            rows: dict[tuple[str, bool], tuple] = {}  # the cleanest original of each form, and the most frequent
+            for word, n in zip(x.token, x.n):
+                if not is_source(word):
                     continue
-                key = (form, odd > own)
-                best = rows.get(key)
-                if best is None or (own, -n, word) < best[:3]:
-                    rows[key] = (own, -n, word, "/".join(chain or ()))
-        yield pd.DataFrame([(f, s, w, o, -m, c) for (f, s), (o, m, w, c) in rows.items()], columns=["token", "odd", "word", "own", "word_n", "chain"])
+                own, letters = oddness(word), any(c.isalpha() for c in word)
+                for form, chain in forms(word).items():
+                    if taken[_slot(form)]:
+                        for key, rank in (((form, True), (own, -n, word)), ((form, False), (-n, own, word))):
+                            best = rows.get(key)
+                            if best is None or rank < best[0]:
+                                rows[key] = (rank, (word, own, n, "/".join(chain or ()), letters))
+            yield pd.DataFrame(list({(f, *row) for (f, _), (_, row) in rows.items()}), columns=["token", "word", "own", "word_n", "chain", "letters"])
+
+    tasks = words.sparkSession.sparkContext.defaultParallelism * 2
+    return words.where(F.octet_length("token") > F.char_length("token")).repartition(tasks, "token").mapInPandas(run, "token string, word string, own int, word_n long, chain string, letters boolean")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for x in batches:
+        rows, tokens = [], []
+        for k, text in enumerate(x["text"].to_pylist()):
+            found = set()
+            if not text.isascii():
+                found.update(_WORD.findall(text), _RUN.findall(text))
+            if "?" in text:
+                found.update(_MARKS.findall(text))
+            rows += [k] * len(found)
+            tokens += found
+        at = pa.array(rows, pa.int64())
+        yield pa.RecordBatch.from_arrays([x["rec_table"].take(at), x["rec_id"].take(at), pa.array(tokens, pa.string())], names=["rec_table", "rec_id", "token"])
 
 
 def tokens_of(records: DataFrame) -> DataFrame:
-    """(record columns but the text, token) of every word that may be garbled."""
-    text = F.col("text")
-    found = F.array_union(F.array_union(*[F.regexp_extract_all(text, F.lit(t), F.lit(0)) for t in TOKENS[:2]]), F.regexp_extract_all(text, F.lit(TOKENS[2]), F.lit(0)))
-    return records.where(text.rlike(rf"[{_HI}]|\?[A-Za-z?]")).select("rec_table", "rec_id", F.explode(found).alias("token"))
+    """(rec_table, rec_id, token) of every word that may be garbled, once for each record."""
+    return records.where("text is not null").select("rec_table", "rec_id", "text").mapInArrow(_tokens, "rec_table string, rec_id long, token string")
 
 
-def garbled_words(records: DataFrame) -> DataFrame:
+def garbled_words(tokens: DataFrame) -> DataFrame:
     """(token, word, chain, strong) of each distinct word of the records that is a garbled form of another."""
-    words = cut(tokens_of(records).groupBy("token").agg(F.count("*").alias("n")))
-    table = words.where(F.col("token").rlike(f"[{_HI}]")).repartition("token").mapInPandas(_table, "token string, odd boolean, word string, own int, word_n long, chain string")
-    one = F.length("token") == 1
-    met = words.join(table, "token").where(F.when(F.col("odd") & ~one, F.col("n") <= F.col("word_n") * 20).otherwise(F.col("word_n") > F.col("n") * 3))
-    best = met.groupBy("token").agg(F.max("odd").alias("odd"), F.min(F.struct("own", (-F.col("word_n")).alias("rank"), "word", "chain")).alias("best"))
-    marks = F.col("token").rlike(r"^\?+$")
-    strong = F.when(marks, F.length("token") >= 4).otherwise(F.col("odd") | (F.length("token") >= 3))
-    return best.select("token", "best.word", "best.chain", strong.alias("strong"))
+    words = cut(tokens.groupBy("token").agg(F.count("*").alias("n")))
+    met = words.join(table_of(words), "token")
+    rank = (-F.col("word_n")).alias("rank")
+    clean, often = F.min(F.struct("own", rank, "word", "chain", "letters")), F.min(F.struct(rank, "own", "word", "chain", "letters"))
+    best = met.groupBy("token").agg(F.max("n").alias("n"), clean.alias("clean"), often.alias("often"))
+
+    def judge(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x in batches:
+            rows = []
+            for token, n, *originals in zip(x.token, x.n, x.clean, x.often):
+                cost = oddness(token)
+                for b in originals:
+                    odd, more = cost > b["own"], -b["rank"]
+                    if cost < b["own"]:
+                        continue
+                    if n <= more * 20 if odd and len(token) > 1 else more > n * (3 if b["letters"] else 20):
+                        strong = len(token) >= 4 if set(token) == {"?"} else odd or len(token) >= 3 and b["letters"] or len(token) > 1 and b["chain"].startswith("utf-8/")
+                        rows.append((token, b["word"], b["chain"], strong))
+                        break
+            yield pd.DataFrame(rows, columns=["token", "word", "chain", "strong"])
+
+    return best.mapInPandas(judge, "token string, word string, chain string, strong boolean")
 
 
 def records_of(files: DataFrame, segments: DataFrame) -> DataFrame:
@@ -214,28 +272,28 @@ def records_of(files: DataFrame, segments: DataFrame) -> DataFrame:
 
 def garbled_tokens(records: DataFrame) -> DataFrame:
     """(rec_table, rec_id, subs): garbled records with their words' originals."""
-    tokens = tokens_of(records)
-    bad = cut(garbled_words(records))
-    hit = tokens.join(bad, "token", "left")
-    per = hit.groupBy("rec_table", "rec_id").agg(
-        F.count("*").alias("all"),
-        F.count_if(F.col("strong")).alias("strong"),
-        F.count("word").alias("hits"),
-        F.collect_set(F.when(F.col("word").isNotNull(), F.struct("token", "word", "chain"))).alias("subs"),
-    )
-    return per.where("strong > 0 or (hits >= 2 and hits * 2 >= all)").select("rec_table", "rec_id", "subs")
+    tokens = cut(tokens_of(records))
+    bad = cut(garbled_words(tokens))
+    found = _verdicts(tokens, bad)
+    subs = tokens.join(bad, "token").groupBy("rec_table", "rec_id").agg(F.collect_set(F.struct("token", "word", "chain")).alias("subs"))
+    return subs.join(found, ["rec_table", "rec_id"], "left_semi")
 
 
-def find_garbled(records: DataFrame) -> DataFrame:
-    """(rec_table, rec_id) of the records that are garbled, wholly or in part."""
-    tokens = tokens_of(records)
-    hit = tokens.join(cut(garbled_words(records)).select("token", "strong"), "token")
+def _verdicts(tokens: DataFrame, bad: DataFrame) -> DataFrame:
+    """Records with one sure garbled word, or with two that are short and make half of its words."""
+    hit = tokens.join(bad.select("token", "strong"), "token")
     sure = hit.where("strong").select("rec_table", "rec_id").distinct()
     weak = hit.where("not strong").groupBy("rec_table", "rec_id").agg(F.count("*").alias("hits")).where("hits >= 2")
     shares = tokens.join(weak, ["rec_table", "rec_id"]).groupBy("rec_table", "rec_id").agg(F.count("*").alias("all"), F.max("hits").alias("hits")).where("hits * 2 >= all")
     return sure.unionByName(shares.select("rec_table", "rec_id")).distinct()
 
 
+def find_garbled(records: DataFrame) -> DataFrame:
+    """(rec_table, rec_id) of the records that are garbled, wholly or in part."""
+    tokens = cut(tokens_of(records))
+    return _verdicts(tokens, cut(garbled_words(tokens)))
+
+
 def _restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in batches:
         out = []
