@@ -19,9 +19,12 @@ from collections import Counter
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from weftwork.session import cut
+
 #: Words of at least this share of the corpus have a say: so there are 100,000 at most of each kind.
 SHARE = 1e-5
 
@@ -315,8 +318,6 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 def corpus_answers(docs: DataFrame) -> Answers:
     """Counts over all documents; only words of SHARE or more are kept, so at most 1 / SHARE of each kind reach the driver."""
     counts = docs.select("text").mapInPandas(_count, "what string, word string, kind string, n long").groupBy("what", "word", "kind").agg(F.sum("n").alias("n"))
-    from weftwork.session import cut
-
     counts = cut(counts)
     totals = {r.what: r.n for r in counts.groupBy("what").agg(F.sum("n").alias("n")).collect()}
     least = F.when(F.col("what") == "stop", F.lit(totals.get("stop", 0) * SHARE)).otherwise(F.lit(totals.get("small", 0) * SHARE))
@@ -324,24 +325,24 @@ def corpus_answers(docs: DataFrame) -> Answers:
     return Answers({(r.word, r.kind): r.n for r in rows if r.what == "stop"}, {r.word for r in rows if r.what == "small" and r.n >= 2})
 
 
-def split_sentences(docs: DataFrame) -> DataFrame:
-    """(rec_table, rec_id, start_pos, end_pos) of each sentence of (rec_table, rec_id, text)."""
+def split_sentences(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
+    """(rec_table, rec_id, start_pos, end_pos) of each sentence of (rec_table, rec_id, text); ``corpus``: texts that are counted, if others."""
     docs = docs.where("text is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(corpus_answers(docs))
+    shared = docs.sparkSession.sparkContext.broadcast(corpus_answers(docs if corpus is None else corpus))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        corpus = shared.value
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        answers = shared.value
         for x in batches:
-            tables, ids, starts, ends = [], [], [], []
-            for table, rid, text in zip(x.rec_table, x.rec_id, x.text):
-                found = sentences(text, corpus)
-                tables += [table] * len(found)
-                ids += [rid] * len(found)
+            rows, starts, ends = [], [], []
+            for k, text in enumerate(x["text"].to_pylist()):
+                found = sentences(text, answers)
+                rows += [k] * len(found)
                 starts += [a for a, _ in found]
                 ends += [b for _, b in found]
-            yield pd.DataFrame({"rec_table": tables, "rec_id": ids, "start_pos": starts, "end_pos": ends})
+            at = pa.array(rows, pa.int64())
+            yield pa.RecordBatch.from_arrays([x["rec_table"].take(at), x["rec_id"].take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["rec_table", "rec_id", "start_pos", "end_pos"])
 
-    return docs.select("rec_table", "rec_id", "text").mapInPandas(run, "rec_table string, rec_id long, start_pos int, end_pos int")
+    return docs.select("rec_table", "rec_id", "text").mapInArrow(run, "rec_table string, rec_id long, start_pos int, end_pos int")
 
 
 def documents_of(files: DataFrame, segments: DataFrame) -> DataFrame:
@@ -355,5 +356,6 @@ def clean_sentences(files: DataFrame, segments: DataFrame) -> DataFrame:
     """Sentences of the records that are not garbled."""
     from weftwork.llm.garbled import find_garbled, records_of
 
-    bad = find_garbled(records_of(files, segments))
-    return split_sentences(documents_of(files, segments).join(bad, ["rec_table", "rec_id"], "left_anti"))
+    docs = documents_of(files, segments)
+    bad = cut(find_garbled(records_of(files, segments)))
+    return split_sentences(docs.join(bad, ["rec_table", "rec_id"], "left_anti"), docs)
