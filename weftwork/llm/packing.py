@@ -140,7 +140,9 @@ def containers(sized: DataFrame, packs: DataFrame) -> DataFrame:
     spread = rest.join(totals, "pack_name")
     n = F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity") * WINDOWS)), F.ceil(F.col("items") / (64 * WINDOWS)))
     spread = spread.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), n).cast("long")).drop("total", "items")
-    packed = spread.groupBy("pack_name", "group").applyInPandas(_pack_group, "pack_name string, container string, doc_id long, piece int, start_token long, n_tokens long")
+    # a given number of tasks: groups are small in bytes and long in work, so they must not be put together by size
+    tasks = max(rest.sparkSession.sparkContext.defaultParallelism * 4, int(rest.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    packed = spread.repartition(tasks, "pack_name", "group").groupBy("pack_name", "group").applyInPandas(_pack_group, "pack_name string, container string, doc_id long, piece int, start_token long, n_tokens long")
     return alone.unionByName(packed)
 
 
