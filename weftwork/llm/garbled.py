@@ -252,11 +252,12 @@ def garbled_words(tokens: DataFrame) -> DataFrame:
             for token, n, *originals in zip(x.token, x.n, x.clean, x.often):
                 cost = oddness(token)
                 for b in originals:
-                    odd, more = cost > b["own"], -b["rank"]
+                    # forms of several bytes of UTF-8 hardly arise otherwise
+                    odd, more = cost > b["own"] or len(token) > 1 and b["chain"].startswith("utf-8/"), -b["rank"]
                     if cost < b["own"]:
                         continue
                     if n <= more * 20 if odd and len(token) > 1 else more > n * (3 if b["letters"] else 20):
-                        strong = len(token) >= 4 if set(token) == {"?"} else odd or len(token) >= 3 and b["letters"] or len(token) > 1 and b["chain"].startswith("utf-8/")
+                        strong = len(token) >= 4 if set(token) == {"?"} else odd or len(token) >= 3 and b["letters"]
                         rows.append((token, b["word"], b["chain"], strong))
                         break
             yield pd.DataFrame(rows, columns=["token", "word", "chain", "strong"])
@@ -306,7 +307,7 @@ def _restore(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
                 if m[0] in table:
                     return table[m[0]]
                 plain = restore(m[0], chain) if chain else None
-                return plain if plain and oddness(plain) < oddness(m[0]) else m[0]
+                return plain if plain and oddness(plain) < oddness(m[0]) + (chain[0] == "utf-8") else m[0]
 
             text = _WORD.sub(lambda m: table[m[0]] if m[0] in table else _RUN.sub(back, m[0]), text)
             lossy = [t for t in table if "?" in t and t in text]

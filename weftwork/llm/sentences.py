@@ -274,7 +274,7 @@ def _disambiguated(word: str, par: str, at: int, corpus: Answers, own_stops: dic
     if "ऀ" <= c <= "෿" or "฀" <= c <= "๿":
         return False
     low = word.lower().lstrip("(’'‘-")
-    if len(low) == 1 and (word.isupper() or not ("a" <= low <= "z" or "а" <= low <= "я")):
+    if len(low) == 1 and par[at] not in "“«„\"‘" and (word.isupper() or not ("a" <= low <= "z" or "а" <= low <= "я")):
         return False
     kinds = own_stops.get(low, set())
     if low in LEADING:
