@@ -54,7 +54,8 @@ _NEXT = re.compile(r"(?:<[^<>]+>)*")
 _THAI_GAP = re.compile(r"(?<=[ก-๛])\s+(?=[ก-๛])")
 _MONTHS = re.compile(r"\s+(?:Januar|Februar|März|April|Mai|Juni|Juli|August|September|Oktober|November|Dezember)\b")
 _PARTICLES = frozenset("とのはがをにもでやへ")
-_STOPPED = re.compile(r"([^\W\d_](?:[^\s.,;:!?…()\[\]“”„«»\"<>]*(?:\.-?[^\W\d_][^\s.,;:!?…()\[\]“”„«»\"<>]*)*))\.(?![.\w])(?=(,|;|:|\)|[^\S\n]*(?:\r?\n)?[^\S\n]*(?:<[^<>]+>)?(\w{0,2})))")
+_STOP = re.compile(r"\.(?![.\w])(?=(,|;|:|\)|[^\S\n]*(?:\r?\n)?[^\S\n]*(?:<[^<>]+>)?(\w{0,2})))")
+_SMALL = re.compile(r"(?<!\w)[a-zß-öø-ÿа-яёа-я][^\W\d_]*")
 
 
 def _wide(c: str) -> bool:
@@ -68,7 +69,7 @@ def _starts_small(text: str, at: int) -> bool:
 
 def _kind(m: re.Match) -> str:
     """How a word with a full stop goes on: l small letter or mark, d digit, e end of its paragraph, u capital, c other."""
-    mark, after = m[2], m[3]
+    mark, after = m[1], m[2]
     if mark and mark[0] in ",;:":
         return "l"
     if mark and mark[0] == ")":
@@ -82,11 +83,20 @@ def _kind(m: re.Match) -> str:
     return "u" if after[0].isupper() else "c"
 
 
+def _stops_in(text: str) -> list[tuple[str, str]]:
+    """(word, how it goes on) of words with a full stop."""
+    out = []
+    for m in _STOP.finditer(text):
+        at = m.start()
+        t = _TOKEN.search(text, max(0, at - 40), at)
+        if t and not t[0].isdigit():
+            out.append((t[0].lower(), _kind(m)))
+    return out
+
+
 def _observe(text: str) -> tuple[Counter, Counter]:
-    """(word, how it goes on) of words with a full stop; small-letter words without."""
-    stops = Counter((m[1].lower(), _kind(m)) for m in _STOPPED.finditer(text))
-    small = Counter(w for w in _WORDS.findall(text) if w[0].islower())
-    return stops, small
+    """Counts of words with a full stop and how they go on; of small-letter words."""
+    return Counter(_stops_in(text)), Counter(_SMALL.findall(text))
 
 
 class Answers:
@@ -307,9 +317,8 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
     for x in batches:
         for text in x.text:
-            a, b = _observe(text)
-            stops.update(a)
-            small.update(b)
+            stops.update(_stops_in(text))
+            small.update(_SMALL.findall(text))
         if len(stops) + len(small) > 200_000:
             yield out()
     yield out()
