@@ -107,7 +107,8 @@ def _char(c: str) -> tuple[int, str, bool, bool, bool]:
     if c == "�" or cat in ("Cc", "Cn", "Co", "Cs"):
         return 3, "", False, False, False
     if cat[0] == "L":
-        name = unicodedata.name(c, "").split(" ")[0].replace("CJK", "J").replace("HIRAGANA", "J").replace("KATAKANA-HIRAGANA", "J").replace("KATAKANA", "J")
+        name = unicodedata.name(c, "").split(" ")[0]
+        name = "J" if name.startswith(("CJK", "HIRAGANA", "KATAKANA", "IDEOGRAPHIC")) else name
         plain = cat in ("Lu", "Ll") or o > 0x600 and o != 0xFB02 and not 0xFB00 <= o <= 0xFB06
         return int(not plain or 0xFB00 <= o <= 0xFB06), name, c.isupper(), c.islower(), 0xC0 <= o < 0x250
     if cat[0] == "M" or o < 128 or c in COMMON_MARKS or c == "\xa0":
