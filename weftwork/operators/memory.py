@@ -97,7 +97,7 @@ def _slot(c: Column) -> Column:
 
 
 def prefix_candidates(asked: DataFrame, memory: DataFrame, least: float) -> DataFrame:
-    """(key, id) that may reach a similarity of ``least``; none that does is left out.
+    """(key, id) that may reach a similarity of ``least``, some several times; none that does is left out.
 
     Similar word lists share at least ``least`` of the longer, so the rarest words of either meet. Rarity is counted in SLOTS
     hash slots: their table is small whatever the corpus, and any order of slots keeps the search whole.
@@ -114,7 +114,7 @@ def prefix_candidates(asked: DataFrame, memory: DataFrame, least: float) -> Data
     x = front.where("side = 0").select(F.col("who").alias("key"), "src_lang", "tgt_lang", F.col("n").alias("nx"), "el")
     y = front.where("side = 1").select(F.col("who").alias("id"), "src_lang", "tgt_lang", F.col("n").alias("ny"), "el")
     met = x.join(y, ["src_lang", "tgt_lang", "el"]).where(F.least("nx", "ny") >= F.greatest("nx", "ny") * least)
-    return met.select("key", "id").distinct()
+    return met.select("key", "id")
 
 
 #: Letters whose marks a full-text index drops; other scripts keep theirs.

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from weftwork.functions import text as X
-from weftwork.operators import align, learn, lexicon, memory, quality, suggest, volume
+from weftwork.operators import align, learn, lexicon, memory, pipelines, quality, suggest, volume
 from weftwork.plans import oracles
 from weftwork.sources import plain, tmx, xliff
 from weftwork.sources.tables import table as t
@@ -104,6 +104,38 @@ def _xliff_round(s: SparkSession, d: str) -> DataFrame:
     return xliff.units(content.select(F.col("file_id").alias("id"), F.col("content").alias("original"))).select("file_id", "unit_id", "target", "state")
 
 
+def _deleted(s: SparkSession, d: str) -> DataFrame:
+    """Rows that are left of each table without project 1."""
+    tables = pipelines.without_project(1, t(s, d, "projects"), t(s, d, "files"), t(s, d, "segments"))
+    counts = [x.agg(F.lit(name).alias("name"), F.count("*").alias("n")) for name, x in zip(("projects", "files", "segments"), tables)]
+    return counts[0].unionAll(counts[1]).unionAll(counts[2])
+
+
+def _terms_added(s: SparkSession, d: str) -> DataFrame:
+    """The glossary with the lexicon's pairs of words added."""
+    new = t(s, d, "lexicon").select("src_lang", "tgt_lang", F.col("src_word").alias("src_term"), F.col("tgt_word").alias("tgt_term"))
+    return pipelines.with_terms(t(s, d, "glossary"), new).drop("id")
+
+
+def _tmx_import(s: SparkSession, d: str) -> DataFrame:
+    """The memory with itself imported from TMX, both ways round."""
+    lines = tmx.unit_lines(_memory(s, d))
+    docs = lines.select(F.col("id").alias("doc_id"), F.concat(F.lit(tmx.head("en", "20240101T000000Z")), "line", F.lit(tmx.FOOT)).alias("content"), "src_lang", "tgt_lang")
+    return pipelines.import_tmx(_memory(s, d), docs).select("src_lang", "tgt_lang", "source", "target", "origin", "use_count")
+
+
+def _pair_import(s: SparkSession, d: str) -> DataFrame:
+    """The memory with each file's finished segments, aligned again as two documents."""
+    langs = _located(s, d).select(F.col("file_id").alias("pair_id"), "src_lang", "tgt_lang").distinct()
+    units, _ = pipelines.import_documents(_memory(s, d), _documents(s, d, "\n").join(langs, "pair_id"), train=False)
+    return units.select("src_lang", "tgt_lang", "source", "target", "origin", "use_count")
+
+
+def _panel(s: SparkSession, d: str) -> DataFrame:
+    rows = pipelines.panel(_located(s, d), _memory(s, d), t(s, d, "lexicon"))
+    return rows.select("id", F.size(F.coalesce("matches", F.array())).alias("matches"), "suggestion.provider", "suggestion.percent", F.coalesce(F.size("terms"), F.lit(0)).alias("terms"))
+
+
 def _stream(s: SparkSession, d: str, shape: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
     """What a stream over the table's files holds once all are read."""
     import uuid
@@ -168,6 +200,11 @@ def queries() -> dict[str, Query]:
         "learn_settled": lambda s, d: learn.settled(t(s, d, "confirm_events"), _located(s, d)).select("segment_id", "target", "state"),
         "learn_taught": lambda s, d: learn.taught(t(s, d, "confirm_events"), _located(s, d)).drop("updated_at"),
         "learn_merged": lambda s, d: learn.merged(_memory(s, d), learn.taught(t(s, d, "confirm_events"), _located(s, d))).select("src_lang", "tgt_lang", "source", "target", "origin", "use_count"),
+        "project_deleted": _deleted,
+        "glossary_added": _terms_added,
+        "tmx_import": _tmx_import,
+        "pair_import": _pair_import,
+        "panel": _panel,
         "stream_confirm_counts": _stream_counts,
         "stream_confirm_once": _stream_once,
     }

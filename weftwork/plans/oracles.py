@@ -242,6 +242,13 @@ def all_sql() -> dict[str, str]:
         "learn_merged": f"""WITH {MEMORY}, {LOCATED}, {_LEARN} SELECT src_lang, tgt_lang, source, target, CASE WHEN m.id IS NULL THEN 'editor' ELSE m.origin END AS origin,
           (CASE WHEN m.id IS NULL THEN confirmations - 1 ELSE use_count + coalesce(confirmations, 0) END)::BIGINT AS use_count
           FROM mem m FULL JOIN taught USING (src_lang, tgt_lang, source, target)""",
+        "project_deleted": """SELECT 'projects' AS name, count(*) AS n FROM projects WHERE id <> 1 UNION ALL SELECT 'files', count(*) FROM files WHERE project_id <> 1
+          UNION ALL SELECT 'segments', count(*) FROM segments WHERE file_id NOT IN (SELECT id FROM files WHERE project_id = 1)""",
+        "glossary_added": "SELECT src_lang, tgt_lang, src_term, tgt_term FROM glossary UNION SELECT src_lang, tgt_lang, src_word, tgt_word FROM lexicon",
+        "tmx_import": f"""WITH {MEMORY}, a AS (SELECT src_lang, tgt_lang, source, target, origin, use_count, 0 AS later, 0 AS n FROM mem
+            UNION ALL SELECT src_lang, tgt_lang, source, target, 'tmx', 0, 1, 1 FROM mem UNION ALL SELECT tgt_lang, src_lang, target, source, 'tmx', 0, 1, 1 FROM mem)
+          SELECT src_lang, tgt_lang, source, target, min(struct_pack(i := later, o := origin)).o AS origin, (sum(use_count) + count(*) - 1)::BIGINT AS use_count
+          FROM a GROUP BY src_lang, tgt_lang, source, target""",
         "stream_confirm_counts": "SELECT strftime(date_trunc('day', ts), '%Y-%m-%d') AS day, coalesce(state, 'unchanged') AS state, count(*) AS arrivals FROM confirm_events GROUP BY ALL",
         "stream_confirm_once": "SELECT DISTINCT event_id, segment_id, state FROM confirm_events",
     }

@@ -13,7 +13,7 @@ from weftwork.functions.text import paragraphs, split_plain_sentences
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
     """(path, text) of files, read as UTF-8; what is none becomes U+FFFD."""
-    return spark.read.format("binaryFile").load(path).select("path", F.decode("content", "UTF-8").alias("text"))
+    return spark.read.format("binaryFile").load(path).select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))
 
 
 def sentences(documents: DataFrame) -> DataFrame:

@@ -42,7 +42,7 @@ def learn(events: DataFrame, segments: DataFrame, memory_path: str, checkpoint:
 
     def each(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = spark.read.parquet(f"{memory_path}/version={number}") if number else spark.read.parquet(f"{memory_path}/version=0")
+        before = spark.read.parquet(f"{memory_path}/version={number}")
         merged(before, taught(batch, segments)).write.mode("overwrite").parquet(f"{memory_path}/version={number + 1}")
 
     return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
