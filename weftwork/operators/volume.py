@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import norm_lang, tokens
 from weftwork.operators.memory import lookup, plain
+from weftwork.session import salted_join
 
 DONE = ("translated", "approved")
 
@@ -42,9 +43,10 @@ def repeated(segments: DataFrame) -> DataFrame:
     """
     words = segments.withColumn("toks", tokens(F.col("source"))).withColumn("words", F.size("toks").cast("long"))
     words = words.withColumn("text_key", F.array_join("toks", " "))
-    first = words.groupBy("project_id", "text_key").agg(F.min(F.struct("file_id", "seq", "id")).alias("first"))
     place = F.struct("file_id", "seq", "id")
-    return words.join(first, ["project_id", "text_key"]).withColumn("repetition", place > F.col("first")).drop("first")
+    again = words.groupBy("project_id", "text_key").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    both = salted_join(words, again, ["project_id", "text_key"], ["id"], "left")
+    return both.withColumn("repetition", F.coalesce(place > F.col("first"), F.lit(False))).drop("first")
 
 
 def volume_bands(segments: DataFrame, memory: DataFrame, mode: str = "prefix") -> DataFrame:

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> str:
@@ -35,3 +36,13 @@ def ready(spark: SparkSession, root: str) -> SparkSession:
     if root not in paths:
         env["PYTHONPATH"] = ":".join([root, *filter(None, paths)])
     return spark
+
+
+def salted_join(many: DataFrame, one: DataFrame, keys: list[str], by: list[str], how: str = "inner", salts: int = 16) -> DataFrame:
+    """``many`` joined with ``one``, which has a row for each key: a key that holds a great share of ``many`` is spread.
+
+    ``by``: columns of ``many`` that tell a key's rows apart. ``one`` is repeated ``salts`` times, so it should be the small side.
+    """
+    spread = many.withColumn("_salt", F.pmod(F.xxhash64(*by), F.lit(salts)).cast("int"))
+    repeated = one.withColumn("_salt", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))))
+    return spread.join(repeated, [*keys, "_salt"], how).drop("_salt")
