@@ -32,7 +32,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import norm_lang
-from weftwork.llm.consistent import INVISIBLE, LOOK, OTHER_SPACES, mixed_tokens, plain_form
+from weftwork.llm.consistent import INVISIBLE, OTHER_SPACES, mixed_tokens, plain_form
+from weftwork.session import cut, salted_join
 
 SHARE = 1e-4
 UNSPACED = frozenset(["zh", "ja", "th"])
@@ -360,11 +361,9 @@ def _observe(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 
 def corpus_of(pairs: DataFrame) -> Corpus:
-    from weftwork.session import cut
-
     counts = cut(pairs.select("src", "tgt", "source", "target").mapInPandas(_observe, "what string, lang string, word string, n long").groupBy("what", "lang", "word").agg(F.sum("n").alias("n")))
     totals = counts.where("what in ('w', 's')").groupBy("what", "lang").agg(F.sum("n").alias("total"))
-    kept = counts.join(totals, ["what", "lang"], "left")
+    kept = salted_join(counts, totals, ["what", "lang"], ["word"], "left")
     kept = kept.where((F.col("what") == "r") | ((F.col("what") == "w") & (F.col("n") >= F.col("total") * SHARE)) | ((F.col("what") == "s") & (F.col("n") >= F.col("total") * SHARE / 10)))
     rows = kept.collect()
     sources = {r.word: r.n for r in rows if r.what == "s"}

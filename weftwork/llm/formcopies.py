@@ -19,9 +19,7 @@ from pyspark.sql import functions as F
 
 from weftwork.functions.text import norm_lang
 from weftwork.llm.folding import pair_keys, same_folded
-
-#: A group's rows are spread over so many sub-groups when they meet their representative.
-SALTS = 16
+from weftwork.session import salted_join
 
 
 def sides(units: DataFrame) -> DataFrame:
@@ -58,11 +56,11 @@ def form_copies(units: DataFrame) -> DataFrame:
     side = sides(units)
     keys = form_keys(side)
     groups = keys.groupBy("k1", "k2").agg(F.min("id").alias("keep_id"), F.max("id").alias("last")).where("keep_id < last").drop("last")
-    members = keys.join(groups, ["k1", "k2"]).select("id", "keep_id").distinct()
-    texts = side.join(members, "id").withColumn("salt", F.pmod(F.xxhash64("id"), F.lit(SALTS)).cast("int"))
+    members = salted_join(keys, groups, ["k1", "k2"], ["id"]).select("id", "keep_id").distinct()
+    texts = side.join(members, "id")
     reps = side.join(groups.select(F.col("keep_id").alias("id")), "id").dropDuplicates(["id"])
-    reps = reps.select(F.col("id").alias("keep_id"), *[F.col(c).alias(f"r_{c}") for c in ("a_lang", "b_lang", "a", "b")], F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    checked = texts.where("id <> keep_id").join(reps, ["keep_id", "salt"]).drop("salt").mapInPandas(_verify, "keep_id long, id long, same boolean")
+    reps = reps.select(F.col("id").alias("keep_id"), *[F.col(c).alias(f"r_{c}") for c in ("a_lang", "b_lang", "a", "b")])
+    checked = salted_join(texts.where("id <> keep_id"), reps, ["keep_id"], ["id"]).mapInPandas(_verify, "keep_id long, id long, same boolean")
     return checked.where("same").select("keep_id", F.col("id").alias("copy_id")).distinct()
 
 

@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.session import cut
+from weftwork.session import cut, salted_join
 
 # Encodings in which texts are stored, and in which they are wrongly read.
 SINGLE = ["cp1252", "latin-1", "cp1251", "koi8-r", "cp866", "mac_roman", "cp437", "cp850", "cp1250", "iso8859-5", "mac_cyrillic", "cp1256", "cp874", "iso8859-15"]
@@ -277,13 +277,13 @@ def garbled_tokens(records: DataFrame) -> DataFrame:
     tokens = cut(tokens_of(records))
     bad = cut(garbled_words(tokens))
     found = _verdicts(tokens, bad)
-    subs = tokens.join(bad, "token").groupBy("rec_table", "rec_id").agg(F.collect_set(F.struct("token", "word", "chain")).alias("subs"))
+    subs = salted_join(tokens, bad, ["token"], ["rec_id"]).groupBy("rec_table", "rec_id").agg(F.collect_set(F.struct("token", "word", "chain")).alias("subs"))
     return subs.join(found, ["rec_table", "rec_id"], "left_semi")
 
 
 def _verdicts(tokens: DataFrame, bad: DataFrame) -> DataFrame:
     """Records with one sure garbled word, or with two that are short and make half of its words."""
-    hit = tokens.join(bad.select("token", "strong"), "token")
+    hit = salted_join(tokens, bad.select("token", "strong"), ["token"], ["rec_id"])
     sure = hit.where("strong").select("rec_table", "rec_id").distinct()
     weak = hit.where("not strong").groupBy("rec_table", "rec_id").agg(F.count("*").alias("hits")).where("hits >= 2")
     shares = tokens.join(weak, ["rec_table", "rec_id"]).groupBy("rec_table", "rec_id").agg(F.count("*").alias("all"), F.max("hits").alias("hits")).where("hits * 2 >= all")

@@ -22,6 +22,8 @@ from pyspark.sql import functions as F
 
 #: Buckets of a source's documents.
 BUCKETS = 4096
+#: Targets are settings, not data; more than these are refused.
+MOST_TARGETS = 100_000
 
 
 def demands(shares: list[float], caps: list[float], total: float) -> list[float]:
@@ -73,7 +75,9 @@ def mixed(sized: DataFrame, targets: DataFrame) -> DataFrame:
 
     sized = cut(sized)
     plan = cut(mix_plan(sized, targets))
-    use = placed_before(sized).join(plan, "source")
+    if plan.count() > MOST_TARGETS:
+        raise ValueError(f"more than {MOST_TARGETS} sources of mixes")
+    use = placed_before(sized).join(F.broadcast(plan), "source")  # a row for each target
     # a document's pass r is used if its middle, at r * tokens + before + n_tokens / 2, lies within the demand
     middle = F.col("before") + F.col("n_tokens") / 2
     uses = F.floor((F.col("demand") - middle) / F.col("tokens")).cast("int") + 1

@@ -33,6 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from weftwork.llm.formcopies import form_keys, sides
+from weftwork.session import cut, salted_join
 
 MIN_WORDS = 8
 #: Fine segments of the fingerprint. Their fill counts go to every task: a byte each, so the bound is 256 KiB.
@@ -143,15 +144,13 @@ def _java_xxhash64(e: str) -> int:
 
 def near_classes(units: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(members: id, rep), (representatives), (pairs of representatives: rep_a < rep_b)."""
-    from weftwork.session import cut
-
     side = sides(units)
     keyed = bags(side).join(form_keys(side), "id").dropDuplicates(["id"])
     keyed = cut(keyed)
     same = ["langs", "bag1", "bag2", "k1", "k2"]
-    reps_of = keyed.groupBy(same).agg(F.min("id").alias("rep"))
-    members = keyed.select("id", *same).join(reps_of, same).select("id", "rep", "k1", "k2")
-    reps = keyed.join(reps_of.select(F.col("rep").alias("id")), "id", "left_semi").select(F.col("id").alias("rep"), "langs", "ea", "eb", "pa", "pb", "k1", "k2")
+    groups = keyed.groupBy(same).agg(F.min("id").alias("rep"), F.count("*").alias("n")).where("n > 1").drop("n")
+    members = cut(salted_join(keyed.select("id", *same), groups, same, ["id"], "left").select("id", F.coalesce("rep", "id").alias("rep")))
+    reps = keyed.join(members.where("id <> rep").select("id"), "id", "left_anti").select(F.col("id").alias("rep"), "langs", "ea", "eb", "pa", "pb", "k1", "k2")
     fill = segment_fill(reps)
     keys = cell_keys(units.sparkSession, fill)
     cells = reps.select("rep", F.explode(keys("langs", "ea")).alias("cell"), "langs", F.size("ea").cast("int").alias("na"), F.size("eb").cast("int").alias("nb"), "pa", "pb", "k1", "k2")
@@ -175,5 +174,6 @@ def near_pairs(units: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: every pair of near copies."""
     members, _, pairs = near_classes(units)
     a, b = [members.select(F.col("rep").alias(f"rep_{s}"), F.col("id").alias(f"id_{s}")) for s in "ab"]
-    both = pairs.join(a, "rep_a").join(b, "rep_b")
+    # few pairs meet many members: a representative may stand for a great share of all units
+    both = salted_join(b, salted_join(a, pairs, ["rep_a"], ["id_a"]), ["rep_b"], ["id_b"])
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))

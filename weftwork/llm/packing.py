@@ -137,7 +137,7 @@ def containers(sized: DataFrame, packs: DataFrame) -> DataFrame:
     rest = items.where(~full)
     totals = rest.groupBy("pack_name").agg(F.sum("n_tokens").alias("total"), F.count("*").alias("items"))
     # a group has about WINDOWS containers' tokens, and no more items than 64 for each of them
-    spread = rest.join(totals, "pack_name")
+    spread = rest.join(F.broadcast(totals), "pack_name")  # a row for each capacity, MOST_PACKS at most
     n = F.greatest(F.lit(1), F.ceil(F.col("total") / (F.col("capacity") * WINDOWS)), F.ceil(F.col("items") / (64 * WINDOWS)))
     spread = spread.withColumn("group", F.pmod(F.xxhash64("doc_id", "piece"), n).cast("long")).drop("total", "items")
     # a given number of tasks: groups are small in bytes and long in work, so they must not be put together by size
