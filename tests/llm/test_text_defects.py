@@ -153,6 +153,17 @@ def test_sentences_cover_all_text_and_nothing_twice(spark):
     assert sentences.split_sentences(docs.limit(0)).count() == 0
 
 
+def test_rare_words_of_a_great_corpus_have_their_say(spark):
+    """More than 100,000 stops: words and counts below the share that is sent to every task."""
+    texts = ["Go now. " * 1000] * 450
+    texts += ["Use the zab. here"] * 3 + ["The Tor. Kolm fails."] * 7 + ["Open the Tor."] + ["so meist here"] * 2
+    asked = {"We use the Zab. Kolm fails.": 1, "The Tor. Kolm fails.": 2, "See x. Meist fails.": 2, "See x. Kolm fails.": 1}
+    docs = spark.createDataFrame([("t", n, t) for n, t in enumerate([*texts, *asked])], "rec_table string, rec_id long, text string").repartition(4)
+    got = {r.rec_id: r["count"] for r in sentences.split_sentences(docs).groupBy("rec_id").count().collect()}
+    assert [got[len(texts) + n] for n in range(len(asked))] == list(asked.values())
+    assert got[0] == 1000
+
+
 def test_garbled_records_have_no_sentences(spark):
     seg = segments(spark, [(n, 1, t, "", "new") for n, t in enumerate(["Größe. Maß."] * 5 + ["GrÃ¶ÃŸe. MaÃŸ."])])
     got = sentences.clean_sentences(files(spark, [(1, 1, "xliff", "A. B."), (2, 1, "pdf", "A b.\nC d."), (3, 1, "txt", None)]), seg)

@@ -5,8 +5,9 @@ shows elsewhere: a word that it also writes with a full stop before a small lett
 without a full stop is none, a capitalised word that it also writes small is no proper name. Where the document is silent the
 corpus answers, by counts over all documents; script-specific rules say which marks end sentences at all.
 
-The corpus answers in a table of words whose share of all words is ``SHARE`` or more: at most ``1 / SHARE`` rows by
-definition, whatever the corpus' size, so it may be sent to every task.
+The corpus answers for every word, with all its counts. Words whose share of all stops or of all small-letter words is
+``SHARE`` or more are ``2 / SHARE`` at most by definition, whatever the corpus' size, and are sent to every task. Documents
+that ask for rarer words get their counts by a join.
 
 Cases: a null or blank text has no sentences; positions count code points; repeated rows give repeated sentences; an empty
 table gives no rows; only named columns are read.
@@ -15,19 +16,21 @@ table gives no rows; only named columns are read.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import ChainMap, Counter
 from collections.abc import Iterator
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftwork.session import cut
+from weftwork.session import cut, salted_join
 
-#: Words of at least this share of the corpus have a say: so there are 100,000 at most of each kind.
+#: Words of at least this share of the corpus are sent to every task: 100,000 at most by their stops, and as many by small letters.
 SHARE = 1e-5
 
+#: Columns of a word's counts: how it goes on after a full stop, and how often it is written small.
+COUNTS = ("l", "d", "e", "u", "c", "small")
+
 #: Words of more letters are no abbreviations, unless full stops stand inside.
 LONGEST = 5
 
@@ -100,14 +103,28 @@ def _observe(text: str) -> tuple[Counter, Counter]:
 
 
 class Answers:
-    """What the corpus says: counts of words with a full stop, and the common words."""
+    """What the corpus says: counts of words with a full stop, and the words written small."""
 
     def __init__(self, stops: dict[tuple[str, str], int], small: set[str]):
-        self.small = small
+        self.small = dict.fromkeys(small)
         self.stops: dict[str, dict[str, int]] = {}
         for (w, k), n in stops.items():
             self.stops.setdefault(w, {})[k] = n
 
+    @classmethod
+    def of(cls, rows: list) -> Answers:
+        """From rows of a word and its counts."""
+        return cls({(r["word"], k): r[k] for r in rows for k in "ldeuc" if r[k]}, {r["word"] for r in rows if r["small"] >= 2})
+
+    def with_rows(self, rows: list) -> Answers:
+        """These answers and those of more words."""
+        more = Answers.of(rows)
+        more.stops, more.small = ChainMap(more.stops, self.stops), ChainMap(more.small, self.small)
+        return more
+
+    def writes_small(self, w: str) -> bool:
+        return w in self.small
+
     def abbreviation(self, w: str) -> bool:
         s = self.stops.get(w)
         if not s:
@@ -115,7 +132,7 @@ class Answers:
         l, d, e, u = (s.get(k, 0) for k in "ldeu")
         if l + d >= 2 and l + d > 2 * (e + u):
             return True
-        return u >= 8 and e * 50 <= u and w not in self.small and len(w) <= LONGEST
+        return u >= 8 and e * 50 <= u and not self.writes_small(w) and len(w) <= LONGEST
 
     def ends(self, w: str) -> bool:
         """Seen at ends of paragraphs as well."""
@@ -123,6 +140,28 @@ class Answers:
         return s.get("e", 0) * 20 > sum(s.values())
 
 
+class Asking(Answers):
+    """Answers for the words that are known; the others that a verdict may need are noted in ``asked``."""
+
+    def __init__(self, known: Answers, words: set[str]):
+        self.small, self.stops, self.words = known.small, known.stops, words
+        self.asked: set[str] = set()
+
+    def _known(self, w: str) -> bool:
+        if w not in self.words:
+            self.asked.add(w)
+        return w in self.words
+
+    def abbreviation(self, w: str) -> bool:
+        return not self._known(w) or super().abbreviation(w)
+
+    def ends(self, w: str) -> bool:
+        return self._known(w) and super().ends(w)
+
+    def writes_small(self, w: str) -> bool:
+        return self._known(w) and super().writes_small(w)
+
+
 def _spans(text: str) -> list[tuple[int, int]]:
     """Paragraphs: what blank lines keep apart."""
     out, at = [], 0
@@ -301,22 +340,25 @@ def _disambiguated(word: str, par: str, at: int, corpus: Answers, own_stops: dic
         return False
     m = _WORDS.match(par, at)
     follow = m[0].lower() if m and not (len(m[0]) > 1 and m[0].isupper()) else ""
-    common = bool(follow) and (follow in own_small or follow in corpus.small)
+    common = bool(follow) and (follow in own_small or corpus.writes_small(follow))
     return common or corpus.ends(low) or not m and par[at] in "“«„\""
 
 
-def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     stops: Counter = Counter()
     small: Counter = Counter()
 
-    def out() -> pd.DataFrame:
-        rows = [("stop", w, k, n) for (w, k), n in stops.items()] + [("small", w, "", n) for w, n in small.items()]
+    def out() -> pa.RecordBatch:
+        rows: dict[str, dict[str, int]] = {w: {"small": n} for w, n in small.items()}
+        for (w, k), n in stops.items():
+            rows.setdefault(w, {})[k] = n
+        counts = [pa.array([r.get(k, 0) for r in rows.values()], pa.int64()) for k in COUNTS]
         stops.clear()
         small.clear()
-        return pd.DataFrame(rows, columns=["what", "word", "kind", "n"])
+        return pa.RecordBatch.from_arrays([pa.array(rows, pa.string()), *counts], names=["word", *COUNTS])
 
     for x in batches:
-        for text in x.text:
+        for text in x["text"].to_pylist():
             stops.update(_stops_in(text))
             small.update(_SMALL.findall(text))
         if len(stops) + len(small) > 200_000:
@@ -324,34 +366,62 @@ def _count(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     yield out()
 
 
-def corpus_answers(docs: DataFrame) -> Answers:
-    """Counts over all documents; only words of SHARE or more are kept, so at most 1 / SHARE of each kind reach the driver."""
-    counts = docs.select("text").mapInPandas(_count, "what string, word string, kind string, n long").groupBy("what", "word", "kind").agg(F.sum("n").alias("n"))
-    counts = cut(counts)
-    totals = {r.what: r.n for r in counts.groupBy("what").agg(F.sum("n").alias("n")).collect()}
-    least = F.when(F.col("what") == "stop", F.lit(totals.get("stop", 0) * SHARE)).otherwise(F.lit(totals.get("small", 0) * SHARE))
-    rows = counts.where(F.col("n") >= least).collect()
-    return Answers({(r.word, r.kind): r.n for r in rows if r.what == "stop"}, {r.word for r in rows if r.what == "small" and r.n >= 2})
+def corpus_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Counts over all documents, a row for each word: those of SHARE or more by stops or small letters, and the others that say anything."""
+    counts = docs.select("text").mapInArrow(_count, "word string, " + ", ".join(f"{k} long" for k in COUNTS)).groupBy("word").agg(*[F.sum(k).alias(k) for k in COUNTS])
+    counts = cut(counts.withColumn("stops", sum((F.col(k) for k in "deuc"), F.col("l"))))
+    totals = counts.agg(F.sum("stops").alias("stops"), F.sum("small").alias("small")).first()
+    common = F.lit(False)
+    for c in ("stops", "small"):
+        common |= (F.col(c) > 0) & (F.col(c) >= F.lit((totals[c] or 0) * SHARE))
+    return counts.where(common), counts.where(~common & ((F.col("stops") > 0) | (F.col("small") >= 2)))
+
+
+def _lists(spans: list[list[int]]) -> pa.Array:
+    return pa.array(spans, pa.list_(pa.int32()))
 
 
 def split_sentences(docs: DataFrame, corpus: DataFrame | None = None) -> DataFrame:
     """(rec_table, rec_id, start_pos, end_pos) of each sentence of (rec_table, rec_id, text); ``corpus``: texts that are counted, if others."""
-    docs = docs.where("text is not null")
-    shared = docs.sparkSession.sparkContext.broadcast(corpus_answers(docs if corpus is None else corpus))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        answers = shared.value
+    docs = docs.where("text is not null").select("rec_table", "rec_id", "text")
+    common, rare = corpus_counts(docs if corpus is None else corpus.where("text is not null"))
+    # at most 2 / SHARE rows
+    rows = common.collect()
+    shared = docs.sparkSession.sparkContext.broadcast((Answers.of(rows), {r["word"] for r in rows}))
+
+    def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Sentences; or the text and the words whose counts are wanted, where the common words do not decide."""
+        corpus = Asking(*shared.value)
+        for x in batches:
+            starts, ends, texts, asked = [], [], [], []
+            for text in x["text"].to_pylist():
+                corpus.asked.clear()
+                found = sentences(text, corpus)
+                wanted = sorted(corpus.asked)
+                found = [] if wanted else found
+                starts.append([a for a, _ in found])
+                ends.append([b for _, b in found])
+                texts.append(text if wanted else None)
+                asked.append(wanted)
+            columns = [x["rec_table"], x["rec_id"], _lists(starts), _lists(ends), pa.array(texts, pa.string()), pa.array(asked, pa.list_(pa.string()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["rec_table", "rec_id", "starts", "ends", "text", "asked"])
+
+    def again(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known, _ = shared.value
         for x in batches:
-            rows, starts, ends = [], [], []
-            for k, text in enumerate(x["text"].to_pylist()):
-                found = sentences(text, answers)
-                rows += [k] * len(found)
-                starts += [a for a, _ in found]
-                ends += [b for _, b in found]
-            at = pa.array(rows, pa.int64())
-            yield pa.RecordBatch.from_arrays([x["rec_table"].take(at), x["rec_id"].take(at), pa.array(starts, pa.int32()), pa.array(ends, pa.int32())], names=["rec_table", "rec_id", "start_pos", "end_pos"])
-
-    return docs.select("rec_table", "rec_id", "text").mapInArrow(run, "rec_table string, rec_id long, start_pos int, end_pos int")
+            found = [sentences(text, known.with_rows(told or [])) for text, told in zip(x["text"].to_pylist(), x["told"].to_pylist())]
+            columns = [x["rec_table"], x["rec_id"], _lists([[a for a, _ in f] for f in found]), _lists([[b for _, b in f] for f in found])]
+            yield pa.RecordBatch.from_arrays(columns, names=["rec_table", "rec_id", "starts", "ends"])
+
+    kept = "rec_table string, rec_id long, starts array<int>, ends array<int>"
+    read = cut(docs.mapInArrow(first, f"{kept}, text string, asked array<string>")).withColumn("row", F.monotonically_increasing_id())
+    asked = read.select("row", F.explode("asked").alias("word"))
+    known = asked.select("word").distinct().join(rare, "word")
+    told = salted_join(asked, known, ["word"], ["row"]).groupBy("row").agg(F.collect_list(F.struct("word", *COUNTS)).alias("told"))
+    opened = read.where("text is not null").join(told, "row", "left").select("rec_table", "rec_id", "text", "told").mapInArrow(again, kept)
+    spans = read.where("text is null").select("rec_table", "rec_id", "starts", "ends").unionByName(opened)
+    spans = spans.select("rec_table", "rec_id", F.explode(F.arrays_zip("starts", "ends")).alias("s"))
+    return spans.select("rec_table", "rec_id", F.col("s.starts").alias("start_pos"), F.col("s.ends").alias("end_pos"))
 
 
 def documents_of(files: DataFrame, segments: DataFrame) -> DataFrame:
