@@ -53,6 +53,16 @@ def test_look_alikes_go_by_the_vocabulary(spark):
     assert consistent.out_of_form(segments(spark, []), units(spark, [])).count() == 0
 
 
+def test_vocabulary_covers_rows_that_are_out_of_form(spark):
+    """The proper words stand only in rows with a no-break space, a full-width or invisible character, a loose mark or a mixed word."""
+    proper = ["le serveur", "ｐump", "val​ve", "café", "motor zzаq"]
+    bad = ["sеrveur", "pumр", "vаlve", "cаfé", "mоtor", "zzаq"]
+    rows = [(n, "en", "fr", "", t) for n, t in enumerate(proper + bad)]
+    got = {r.rec_id: r.text for r in consistent.consistent_form(consistent.fields_of(segments(spark, []), units(spark, rows))).where("field = 'target'").collect()}
+    assert [got[len(proper) + n] for n in range(len(bad))] == ["serveur", "pump", "valve", "café", "motor", "zzаq"]
+    assert {r.word for r in consistent.vocabulary(consistent.fields_of(segments(spark, []), units(spark, rows))).collect()} == {"le", "serveur", "pump", "valve", "café", "motor"}
+
+
 def test_very_long_text_is_read_whole():
     import pyarrow as pa
 

@@ -164,15 +164,9 @@ def plain_form(text: str) -> tuple[str, list[str]]:
     return text, kinds
 
 
-def _rows(x: pa.RecordBatch, odd: bool) -> pa.RecordBatch:
-    """The rows of a batch that are suspect, or the others."""
-    ok = suspects(x["text"])
-    return x.filter(pa.array(ok if odd else ~ok))
-
-
 def _inspect(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for x in batches:
-        x = _rows(x, True)
+        x = x.filter(pa.array(suspects(x["text"])))
         forms = [plain_form(t) for t in x["text"].to_pylist()]
         mixed = [dict(mixed_tokens(t)) for t, _ in forms]
         kinds = [k + ["look_alike"] * bool(m) for (_, k), m in zip(forms, mixed)]
@@ -192,12 +186,21 @@ def _in_form(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield x.take(pa.array(at, pa.int64()))
 
 
+def _unmixed_words(text: str) -> list[str]:
+    """Words of a suspect text's plain form, in small letters, without those that mix scripts."""
+    text, _ = plain_form(text)
+    mixed = {token for token, _ in mixed_tokens(text)}
+    if mixed:
+        text = _TOKEN.sub(lambda m: " " if m[0] in mixed else m[0], text)
+    return [w for w in _WORDS.findall(text.lower()) if w.isascii() or len({*map(_script, w)} - {""}) < 2]
+
+
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     seen: set[str] = set()
     for x in batches:
-        for t in _rows(x, False)["text"].to_pylist():
+        for t, odd in zip(x["text"].to_pylist(), suspects(x["text"])):
             if t:
-                seen.update(_WORDS.findall(t.lower()))
+                seen.update(_unmixed_words(t) if odd else _WORDS.findall(t.lower()))
         if len(seen) > 200_000:
             yield pa.RecordBatch.from_arrays([pa.array(seen, pa.string())], names=["word"])
             seen = set()
@@ -226,7 +229,7 @@ def fields_of(segments: DataFrame, units: DataFrame) -> DataFrame:
 
 
 def vocabulary(fields: DataFrame) -> DataFrame:
-    """Words of the fields that are in form, in small letters; a word may come several times."""
+    """Words of all fields, in small letters, those that mix scripts left out; a word may come several times."""
     return fields.select("rec_table", "rec_id", "field", "text").where("text is not null").mapInArrow(_vocabulary, "word string")
 
 
