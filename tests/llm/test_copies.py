@@ -9,7 +9,7 @@ from hypothesis import strategies as st
 
 from weftwork.llm import folding
 from weftwork.llm.formcopies import copy_counts, form_copies
-from weftwork.llm.nearcopies import near_pairs
+from weftwork.llm.nearcopies import components, near_groups, near_pairs
 
 SCHEMA = "id long, src_lang string, tgt_lang string, source string, target string, k1 string, rep string, salt int"
 
@@ -119,3 +119,26 @@ def test_very_long_near_copies(spark):
     words = [f"v{n}" for n in range(3000)]
     rows = [(1, "en", "nl", " ".join(words), "x"), (2, "en", "nl", " ".join(words[:2500]), "x"), (3, "en", "nl", " ".join(words[:2000]), "x")]
     assert set(map(tuple, near_pairs(units(spark, rows)).collect())) == {(1, 2), (2, 3)}
+
+
+def test_every_unit_has_its_class_links_and_group(spark):
+    """1 - 3 - 4 is a chain of near copies, 2 an exact copy of 1; 5 and 6 are exact copies only; the others are alone."""
+    words = [f"w{n}" for n in range(10)]
+    chain = [" ".join([f"x{k}" for k in range(n)] + words[n:]) for n in (0, 2, 4)]
+    other = "one two three four five six seven eight"
+    rows = [(1, "en", "nl", chain[0], "een"), (2, "en", "nl", chain[0].upper(), "een!"), (3, "en", "nl", chain[1], "een"), (4, "en", "nl", chain[2], "een")]
+    rows += [(5, "en", "nl", other, "twee"), (6, "en", "nl", other + ".", "twee"), (7, "en", "nl", "short", "x"), (8, None, None, None, None), (8, None, None, None, None), (None, "en", "nl", other, "twee")]
+    got = sorted((r.id, r.rep, r.links, r.group_id) for r in near_groups(units(spark, rows)).collect())
+    assert got == [(1, 1, 1, 1), (2, 1, 1, 1), (3, 3, 2, 1), (4, 4, 1, 1), (5, 5, 0, 5), (6, 5, 0, 5), (7, 7, 0, 7), (8, 8, 0, 8)]
+    assert near_groups(units(spark, [])).count() == 0
+
+
+def test_components_equal_union_find(spark):
+    r = random.Random(5)
+    pairs = [(n, n + 1) for n in range(0, 60)] + [(r.randrange(100, 200), r.randrange(100, 200)) for _ in range(60)] + [(300, n) for n in range(301, 330)]
+    pairs = [p for p in pairs if p[0] != p[1]]
+    up = {x: x for p in pairs for x in p}
+    for _ in up:
+        for a, b in pairs:
+            up[a] = up[b] = min(up[a], up[b])
+    assert sorted(map(tuple, components(spark.createDataFrame(pairs, "rep_a long, rep_b long")).collect())) == sorted(up.items())

@@ -177,3 +177,45 @@ def near_pairs(units: DataFrame) -> DataFrame:
     # few pairs meet many members: a representative may stand for a great share of all units
     both = salted_join(b, salted_join(a, pairs, ["rep_a"], ["id_a"]), ["rep_b"], ["id_b"])
     return both.select(F.least("id_a", "id_b").alias("id_a"), F.greatest("id_a", "id_b").alias("id_b"))
+
+
+def _same_edges(a: DataFrame, b: DataFrame) -> bool:
+    return a.count() == b.count() and a.join(b, ["u", "v"], "left_anti").isEmpty()
+
+
+def components(pairs: DataFrame) -> DataFrame:
+    """(rep, group_id) of every representative in (rep_a, rep_b): the smallest one that links lead to.
+
+    Large and small stars in turn: every node's larger neighbours are linked to its smallest one, then its smaller ones, until
+    nothing changes and each node is linked to the smallest of its component. No row of it reaches the driver.
+    """
+    ends = [F.greatest("rep_a", "rep_b").alias("u"), F.least("rep_a", "rep_b").alias("v")]
+    edges = cut(pairs.select(*ends).where("u > v").distinct())
+    while True:
+        both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+        least = both.groupBy("u").agg(F.least("u", F.min("v")).alias("m"))
+        large = cut(salted_join(both.where("v > u"), least, ["u"], ["v"]).select(F.col("v").alias("u"), F.col("m").alias("v")).distinct())
+        least = large.groupBy("u").agg(F.min("v").alias("m"))
+        small = salted_join(large, least, ["u"], ["v"]).where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+        new = cut(small.unionByName(least.select("u", F.col("m").alias("v"))).distinct())
+        if _same_edges(new, edges):
+            break
+        edges = new
+    roots = edges.select(F.col("v").alias("rep")).distinct().select("rep", F.col("rep").alias("group_id"))
+    return edges.select(F.col("u").alias("rep"), F.col("v").alias("group_id")).unionByName(roots)
+
+
+def near_groups(units: DataFrame) -> DataFrame:
+    """(id, rep, links, group_id), one row for each id: the smallest id of its class of exact copies, to how many classes that is
+    near, and the smallest id of the classes that near copies join to it, directly or through others.
+
+    A unit that is near to nothing (under MIN_WORDS words, a null or wordless side) is its own class and group.
+    """
+    members, _, pairs = near_classes(units)
+    pairs = cut(pairs)
+    ends = pairs.select(F.col("rep_a").alias("rep")).unionAll(pairs.select(F.col("rep_b").alias("rep")))
+    links = ends.groupBy("rep").agg(F.count("*").alias("links")).join(components(pairs), "rep", "left")
+    ids = units.select("id").where("id is not null").distinct()
+    rows = ids.join(members, "id", "left").select("id", F.coalesce("rep", "id").alias("rep"))
+    rows = salted_join(rows, links, ["rep"], ["id"], "left")
+    return rows.select("id", "rep", F.coalesce("links", F.lit(0)).cast("long").alias("links"), F.coalesce("group_id", "rep").alias("group_id"))

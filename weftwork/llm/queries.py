@@ -11,7 +11,7 @@ from weftwork.llm.defects import pair_defects, pairs_of
 from weftwork.llm.formcopies import copy_counts, form_copies
 from weftwork.llm.garbled import find_garbled, records_of, restored
 from weftwork.llm.mixing import mixed, share_report
-from weftwork.llm.nearcopies import near_classes, near_pairs
+from weftwork.llm.nearcopies import near_groups, near_pairs
 from weftwork.llm.packing import containers, fill_report
 from weftwork.llm.pii import masked_documents, personal_data
 from weftwork.llm.sentences import clean_sentences
@@ -21,15 +21,6 @@ from weftwork.sources.tables import table
 Query = Callable[[SparkSession, str], DataFrame]
 
 
-def _near_groups(units: DataFrame) -> DataFrame:
-    """One row for each unit that has a near copy: its representative and how many representatives that is near to."""
-    from pyspark.sql import functions as F
-
-    members, _, pairs = near_classes(units)
-    ends = pairs.select(F.col("rep_a").alias("rep")).unionAll(pairs.select(F.col("rep_b").alias("rep")))
-    return members.join(ends.groupBy("rep").agg(F.count("*").alias("links")), "rep").select("id", "rep", "links")
-
-
 def _sized(s: SparkSession, d: str) -> DataFrame:
     return token_counts(table(s, d, "documents"), ["doc_id", "source"])
 
@@ -39,7 +30,7 @@ def queries() -> dict[str, Query]:
     pairs = lambda s, d: pairs_of(t(s, d, "tm_units"), t(s, d, "segments"), t(s, d, "files"), t(s, d, "projects"))
     return {
         "p1_found": lambda s, d: near_pairs(t(s, d, "tm_units")),
-        "p1_groups": lambda s, d: _near_groups(t(s, d, "tm_units")),
+        "p1_groups": lambda s, d: near_groups(t(s, d, "tm_units")),
         "p2_found": lambda s, d: form_copies(t(s, d, "tm_units")),
         "p2_copies": lambda s, d: copy_counts(t(s, d, "tm_units")),
         "p3_found": lambda s, d: pair_defects(pairs(s, d)),
