@@ -149,6 +149,11 @@ def test_document_decides_about_abbreviations():
     assert len(sentences.sentences(two, NONE)) == 3
 
 
+def test_document_decides_about_long_abbreviations():
+    assert len(sentences.sentences("Preis einschl. der Pumpe. Preis einschl. Montage.", NONE)) == 2
+    assert len(sentences.sentences("Preis einschl. Montage. Kolm", NONE)) == 3
+
+
 def test_sentences_cover_all_text_and_nothing_twice(spark):
     texts = ["Title\n\nIt works. Good so", " \n ", "", None, "It works. " * 20_000, "(a. B", "“open. Never closed", "no stop 😀. Next 😀!"]
     docs = spark.createDataFrame([("t", n, t) for n, t in enumerate(texts)], "rec_table string, rec_id long, text string")

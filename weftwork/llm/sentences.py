@@ -31,7 +31,7 @@ SHARE = 1e-5
 #: Columns of a word's counts: how it goes on after a full stop, and how often it is written small.
 COUNTS = ("l", "d", "e", "u", "c", "small")
 
-#: Words of more letters are no abbreviations, unless full stops stand inside.
+#: Words of more letters are no abbreviations, unless full stops stand inside or their own document shows it.
 LONGEST = 5
 
 #: Abbreviations before a name or number, that never end a sentence, by language.
@@ -97,11 +97,6 @@ def _stops_in(text: str) -> list[tuple[str, str]]:
     return out
 
 
-def _observe(text: str) -> tuple[Counter, Counter]:
-    """Counts of words with a full stop and how they go on; of small-letter words."""
-    return Counter(_stops_in(text)), Counter(_SMALL.findall(text))
-
-
 class Answers:
     """What the corpus says: counts of words with a full stop, and the words written small."""
 
@@ -217,7 +212,16 @@ def sentences(text: str | None, corpus: Answers) -> list[tuple[int, int]]:
     if not text:
         return []
     own_stops: dict[str, set[str]] | None = None
-    own_small: set[str] = set()
+    own_small: set[str] | None = None
+
+    def own() -> dict[str, set[str]]:
+        nonlocal own_stops
+        if own_stops is None:
+            own_stops = {}
+            for w, k in _stops_in(text):
+                own_stops.setdefault(w, set()).add(k)
+        return own_stops
+
     out: list[tuple[int, int]] = []
     for begin, end in _spans(text):
         par = text[begin:end]
@@ -279,13 +283,10 @@ def sentences(text: str | None, corpus: Answers) -> list[tuple[int, int]]:
             if m[0] == ".":
                 t = _TOKEN.search(par, max(0, s - 40), s)
                 word = t[0] if t else ""
-                if word and not _stops(word, par, s, at, corpus, lambda: (own_stops, own_small)):
-                    if own_stops is None:
-                        stops, small = _observe(text)
-                        own_stops, own_small = {}, set(small)
-                        for (w, k), _ in stops.items():
-                            own_stops.setdefault(w, set()).add(k)
-                    if not _disambiguated(word, par, at, corpus, own_stops, own_small):
+                if word and not _stops(word, par, s, at, corpus, own):
+                    if own_small is None:
+                        own_small = set(_SMALL.findall(text))
+                    if not _disambiguated(word, par, at, corpus, own(), own_small):
                         continue
             cuts.append(e)
         if "฀" <= max(par, default="") and re.search("[ก-๛]", par):
@@ -312,7 +313,7 @@ def _stops(word: str, par: str, s: int, at: int, corpus: Answers, own) -> bool:
     low = word.lower().lstrip("(’'‘-")
     if "." in low or low in LEADING:
         return False
-    return len(low) > LONGEST or any(x.isdigit() for x in low)
+    return any(x.isdigit() for x in low) or len(low) > LONGEST and "l" not in own().get(low, ())
 
 
 def _disambiguated(word: str, par: str, at: int, corpus: Answers, own_stops: dict[str, set[str]], own_small: set[str]) -> bool:
