@@ -154,6 +154,41 @@ def test_document_decides_about_long_abbreviations():
     assert len(sentences.sentences("Preis einschl. Montage. Kolm", NONE)) == 3
 
 
+@pytest.mark.parametrize(
+    "text,counts,want",
+    [
+        # the document's own word without a full stop counts before any list
+        ("The answer was no. We left the room early, and no one asked why.", {}, 2),
+        ("See no. 5 for it. There was no. 6 left, no?", {}, 2),
+        # lists hold for their own language only
+        ("She likes modern art. The gallery is open.", {}, 2),
+        ("Selon art. 5 de la loi, le bail est clos.", {}, 1),
+        # long words: document, then corpus
+        ("Siehe Abschn. drei und Abschn. vier. Nach Abschn. 4 gilt die Frist.", {}, 2),
+        ("Nach Abschn. 4 gilt die Frist.", {("abschn", "d"): 100}, 1),
+        ("Er kam am Montag. 4 Leute warteten.", {("montag", "d"): 3, ("montag", "e"): 10}, 2),
+        # a word that the corpus writes without a full stop as well is none, unless a number follows
+        ("Look at the sect. Kolm is there.", {("sect", "l"): 9}, 1),
+        ("Look at the sect. Kolm is there, as every sect knows.", {("sect", "l"): 9}, 2),
+    ],
+)
+def test_document_then_corpus_then_lists(text, counts, want):
+    assert len(sentences.sentences(text, sentences.Answers(counts, set()))) == want
+
+
+def test_words_before_capitals_need_evidence_by_length():
+    many = lambda w, n: sentences.Answers({(w, "u"): n}, set(), {}, {w: n})
+    for word, short, enough in (("Hw", 7, 8), ("Hauptwerkstatt", 17, 19)):
+        text = f"Frage {word}. Kolm danach."
+        assert len(sentences.sentences(text, many(word.lower(), short))) == 2
+        assert len(sentences.sentences(text, many(word.lower(), enough))) == 1
+    assert len(sentences.sentences("Frage Hw. Kolm danach.", sentences.Answers({("hw", "u"): 40, ("hw", "e"): 20}, set(), {}, {"hw": 40}))) == 2
+
+
+def test_stops_in_quotation_marks_are_no_evidence():
+    assert sentences._stops_in("On it: “It works. It has.” Then approx. 5 (cf. 6).") == [("approx", "d"), ("cf", "d")]
+
+
 def test_sentences_cover_all_text_and_nothing_twice(spark):
     texts = ["Title\n\nIt works. Good so", " \n ", "", None, "It works. " * 20_000, "(a. B", "“open. Never closed", "no stop 😀. Next 😀!"]
     docs = spark.createDataFrame([("t", n, t) for n, t in enumerate(texts)], "rec_table string, rec_id long, text string")
