@@ -21,6 +21,19 @@ def test_pack_keeps_all_and_fits(sizes, capacity):
     assert all(sum(sizes[i] for i in w) <= capacity for w in windows)
 
 
+def test_windows_come_from_differencing(monkeypatch):
+    made = []
+    plain = packing.difference
+    monkeypatch.setattr(packing, "difference", lambda sizes, k: made.append([sorted(sizes[i] for i in w) for w in plain(sizes, k)]) or plain(sizes, k))
+    r = random.Random(8)
+    for capacity, low, high, least in ((256, 20, 255, 0.94), (1024, 20, 400, 0.975)):
+        sizes = [r.randint(low, high) for _ in range(600)]
+        windows = packing.pack(sizes, capacity)
+        assert all(any(sorted(sizes[i] for i in w) in run for run in made) for w in windows)
+        assert sum(sizes) / (len(windows) * capacity) >= least
+    assert packing.pack([], 5) == [] and packing.pack([0] * 5, 5) and len(packing.pack([4] * 7, 5)) == 7
+
+
 def test_differencing_balances():
     r = random.Random(4)
     sizes = [r.randint(1, 40) for _ in range(400)]
@@ -35,7 +48,7 @@ def sized(spark, rows):
 def test_containers_hold_each_token_once(spark):
     r = random.Random(6)
     rows = [(n, "a", r.choice([0, 1, 5, 30, 90, 100, 101, 350])) for n in range(500)] + [(3, "a", 40)]
-    packs = spark.createDataFrame([("p", 100), ("q", 256), ("none", None), ("zero", 0)], PACKS)
+    packs = spark.createDataFrame([("p", 100), ("q", 256), ("none", None), ("zero", 0), (None, 50), ("q", 300)], PACKS)
     placed = packing.containers(sized(spark, rows), packs).cache()
     assert {x.pack_name for x in placed.select("pack_name").distinct().collect()} == {"p", "q"}
     for name, size in (("p", 100), ("q", 256)):
@@ -44,6 +57,7 @@ def test_containers_hold_each_token_once(spark):
         assert max(x.n for x in own.groupBy("container").agg(F.sum("n_tokens").alias("n")).collect()) <= size
         split = own.groupBy("doc_id").agg(F.count("*").alias("k"), F.sum("n_tokens").alias("n")).where((F.col("n") <= size) & (F.col("k") > 1) & (F.col("doc_id") != 3))
         assert split.count() == 0
+    assert {tuple(x) for x in packing.placement_report(placed.where("doc_id <> 3"), sized(spark, [x for x in rows if x[0] != 3]), packs).collect()} == {("p", 499, 0, 0, 0), ("q", 499, 0, 0, 0)}
     report = {x.pack_name: x.containers for x in packing.fill_report(placed, packs).collect()}
     for name, size in (("p", 100), ("q", 256)):
         parts = [x.n_tokens for x in placed.where(F.col("pack_name") == name).collect()]

@@ -12,10 +12,11 @@ from weftwork.llm.formcopies import copy_counts, form_copies
 from weftwork.llm.garbled import find_garbled, records_of, restored
 from weftwork.llm.mixing import mixed, share_report
 from weftwork.llm.nearcopies import near_groups, near_pairs
-from weftwork.llm.packing import containers, fill_report
+from weftwork.llm.packing import containers, fill_report, placement_report
 from weftwork.llm.pii import masked_documents, personal_data
 from weftwork.llm.sentences import clean_sentences
 from weftwork.llm.tokens import token_counts
+from weftwork.session import cut
 from weftwork.sources.tables import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -25,6 +26,11 @@ def _sized(s: SparkSession, d: str) -> DataFrame:
     return token_counts(table(s, d, "documents"), ["doc_id", "source"])
 
 
+def _placed(s: SparkSession, d: str) -> DataFrame:
+    sized, packs = cut(_sized(s, d)), table(s, d, "pack_sizes")
+    return placement_report(cut(containers(sized, packs)), sized, packs)
+
+
 def queries() -> dict[str, Query]:
     t = table
     pairs = lambda s, d: pairs_of(t(s, d, "tm_units"), t(s, d, "segments"), t(s, d, "files"), t(s, d, "projects"))
@@ -41,6 +47,7 @@ def queries() -> dict[str, Query]:
         "p6_forms": lambda s, d: consistent_form(fields_of(t(s, d, "segments"), t(s, d, "tm_units"))),
         "p7_containers": lambda s, d: containers(_sized(s, d), t(s, d, "pack_sizes")),
         "p7_fill": lambda s, d: fill_report(containers(_sized(s, d), t(s, d, "pack_sizes")), t(s, d, "pack_sizes")),
+        "p7_placed": _placed,
         "p8_mixed": lambda s, d: mixed(_sized(s, d), t(s, d, "mix_targets")),
         "p8_shares": lambda s, d: share_report(_sized(s, d), t(s, d, "mix_targets")),
         "p9_found": lambda s, d: personal_data(t(s, d, "documents")),
@@ -86,4 +93,6 @@ def oracle_sql() -> dict[str, str]:
         + "SELECT i.id AS keep_id, coalesce(n, 1)::BIGINT AS copies FROM (SELECT DISTINCT id FROM tm_units WHERE id IS NOT NULL) i"
         + " LEFT JOIN (SELECT keep_id, count(*) AS n FROM g GROUP BY 1) c ON c.keep_id = i.id"
         + " WHERE i.id NOT IN (SELECT id FROM g WHERE id <> keep_id)",
+        "p7_placed": "SELECT pack_name, (SELECT count(*) FROM documents WHERE text IS NOT NULL) AS documents, 0::BIGINT AS lost_tokens, 0::BIGINT AS over_full, 0::BIGINT AS needless_splits"
+        + " FROM (SELECT DISTINCT pack_name FROM pack_sizes WHERE capacity_tokens > 0)",
     }
