@@ -100,6 +100,28 @@ def test_garbled_records_are_found_and_restored(spark):
     assert back[len(clean) + len(CLEAN)] == CLEAN[0]
 
 
+def test_long_words_and_every_double_chain(spark):
+    long = "Donaudampfschifffahrtsgesellschaftskapitän"
+    run = "ท่อ" * 120
+    texts = [f"{long} Größe {run}"] * 30 + [garbled.garble(long, ("utf-8", "cp1252")), garbled.garble(run, ("utf-8", "cp1252"))]
+    doubles = [("utf-8", a, "utf-8", b) for a in ("iso8859-15", "cp1256", "mac_cyrillic") for b in ("koi8-r", "cp437", "iso8859-5")]
+    texts += [garbled.garble("Größe", c) for c in doubles]
+    assert {r.rec_id for r in garbled.find_garbled(records(spark, texts)).collect()} == set(range(30, len(texts)))
+    back = {r.rec_id: r.restored for r in garbled.restored(records(spark, texts)).collect()}
+    assert [back[30 + n] for n in range(2 + len(doubles))] == [long, run] + ["Größe"] * len(doubles)
+
+
+def test_filter_holds_every_word(spark):
+    import xxhash
+
+    words = [f"wört{n}" for n in range(9000)]
+    bits = garbled.filter_of(spark.createDataFrame([(w,) for w in words], "token string"), len(words))
+    at = lambda w: xxhash.xxh64_intdigest(w, seed=42) & (len(bits) * 8 - 1)
+    assert len(bits) * 8 == 1 << 18 and all(bits[at(w) >> 3] >> (at(w) & 7) & 1 for w in words)
+    assert sum(bits[at(w + "x") >> 3] >> (at(w + "x") & 7) & 1 for w in words) < 600
+    assert not any(garbled.filter_of(spark.createDataFrame([], "token string"), 0))
+
+
 def test_garbled_edge_cases(spark):
     assert garbled.find_garbled(records(spark, [])).count() == 0
     rows = garbled.records_of(files(spark, [(1, 1, "txt", None), (2, 1, "txt", "é " * 50_000 + "Ã©t\xc3\xa9 "), (None, 1, "txt", "été")]), segments(spark, [(1, 1, None, "", "new"), (2, 1, "été été", "", "new"), (2, 1, "été été", "", "new")]))

@@ -40,8 +40,9 @@ COMMON_MARKS = "“”‘’«»„‚‹›–—…·¿¡、。！？（）「
 _RUN = re.compile(r"[^\x00-\x7f]+")
 _WORD = re.compile(r"[A-Za-z]*[^\x00-\x7f][A-Za-z\x80-\U0010ffff]*")
 _MARKS = re.compile(r"""(?<![“«„"'?A-Za-z])\?{2,}(?![”»“"'?!A-Za-z])|(?<![A-Za-z?])(?:[A-Za-z]+\?[A-Za-z?]*[A-Za-z?]|\?+[A-Za-z][A-Za-z?]*)""")
-#: Slots of the filter over all words of the corpus: a byte each goes to every task, 2 MiB whatever the corpus.
-SLOTS = 1 << 21
+#: Bits of the filter over all words of the corpus for each of them, and at least and at most: 32 MiB go to every task whatever
+#: the corpus. Up to 16 million words it lets one foreign form in 16 pass, up to 134 million two in five.
+BITS_A_WORD, LEAST_BITS, MOST_BITS = 16, 1 << 16, 1 << 28
 
 
 @lru_cache(None)
@@ -74,7 +75,7 @@ def chains() -> list[tuple[str, ...]]:
     once = [("utf-8", r) for r in [*SINGLE, "gbk", "shift_jis", "big5"]]
     once += [(w, r) for w in [*SINGLE, *MULTI] for r in SINGLE if w != r]
     once += [(w, "utf-8") for w in SINGLE]
-    twice = [("utf-8", a, "utf-8", b) for a in SINGLE[:8] for b in (a, "cp1252", "latin-1", "cp1251", "mac_roman")]
+    twice = [("utf-8", a, "utf-8", b) for a in SINGLE for b in SINGLE]
     return list(dict.fromkeys(once + twice))
 
 
@@ -177,16 +178,31 @@ def written_with_marks(word: str) -> str:
 
 def is_source(word: str) -> bool:
     """Words that go through the chains: clean ones, and next to ASCII letters only Latin ones."""
-    if len(word) > 200 or oddness(word) > 1 or "?" in word:
+    if "?" in word or oddness(word) > 1:
         return False
-    if re.search("[A-Za-z]", word):
-        return len(word) <= 32 and all(_char(c)[1] in ("", "LATIN") for c in word)
-    return True
+    return not re.search("[A-Za-z]", word) or all(_char(c)[1] in ("", "LATIN") for c in word)
 
 
-def _slot(token: str) -> int:
-    """As pmod(xxhash64(token), SLOTS) in Spark."""
-    return xxhash.xxh64_intdigest(token, seed=42) & (SLOTS - 1)
+BLOCK = 1 << 16
+
+
+def filter_of(words: DataFrame, n: int) -> bytes:
+    """Bits that are set at the hashes of ``n`` words: made by blocks of BLOCK bits, of which each is a row of 8 KiB for the driver."""
+    size = LEAST_BITS
+    while size < min(n * BITS_A_WORD, MOST_BITS):
+        size *= 2
+
+    def block(key: tuple, x: pd.DataFrame) -> pd.DataFrame:
+        bits = np.zeros(BLOCK, np.uint8)
+        bits[x.bit.to_numpy()] = 1
+        return pd.DataFrame({"block": [key[0]], "bits": [np.packbits(bits, bitorder="little").tobytes()]})
+
+    slot = F.pmod(F.xxhash64("token"), F.lit(size))
+    places = words.select(F.floor(slot / BLOCK).cast("int").alias("block"), (slot % BLOCK).cast("int").alias("bit"))
+    out = bytearray(size // 8)
+    for r in places.groupBy("block").applyInPandas(block, "block int, bits binary").collect():
+        out[r.block * BLOCK // 8 : (r.block + 1) * BLOCK // 8] = r.bits
+    return bytes(out)
 
 
 def table_of(words: DataFrame) -> DataFrame:
@@ -194,13 +210,12 @@ def table_of(words: DataFrame) -> DataFrame:
 
     A filter of bounded size drops most forms that no word of the corpus has, before they are shuffled.
     """
-    taken = np.zeros(SLOTS, np.bool_)
-    slots = words.select(F.pmod(F.xxhash64("token"), F.lit(SLOTS)).cast("int").alias("slot")).distinct().toPandas()
-    taken[slots.slot.to_numpy()] = True
-    shared = words.sparkSession.sparkContext.broadcast(taken)
+    n = words.count()
+    shared = words.sparkSession.sparkContext.broadcast(filter_of(words, n))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         taken = shared.value
+        mask = len(taken) * 8 - 1
         for x in batches:
             rows: dict[tuple[str, bool], tuple] = {}  # the cleanest original of each form, and the most frequent
             for word, n in zip(x.token, x.n):
@@ -208,14 +223,15 @@ def table_of(words: DataFrame) -> DataFrame:
                     continue
                 own, letters = oddness(word), any(c.isalpha() for c in word)
                 for form, chain in forms(word).items():
-                    if taken[_slot(form)]:
+                    at = xxhash.xxh64_intdigest(form, seed=42) & mask  # as pmod(xxhash64(form), size) in Spark
+                    if taken[at >> 3] >> (at & 7) & 1:
                         for key, rank in (((form, True), (own, -n, word)), ((form, False), (-n, own, word))):
                             best = rows.get(key)
                             if best is None or rank < best[0]:
                                 rows[key] = (rank, (word, own, n, "/".join(chain or ()), letters))
             yield pd.DataFrame(list({(f, *row) for (f, _), (_, row) in rows.items()}), columns=["token", "word", "own", "word_n", "chain", "letters"])
 
-    tasks = words.sparkSession.sparkContext.defaultParallelism * 2
+    tasks = min(100_000, max(words.sparkSession.sparkContext.defaultParallelism * 2, n // 20_000))
     return words.where(F.octet_length("token") > F.char_length("token")).repartition(tasks, "token").mapInPandas(run, "token string, word string, own int, word_n long, chain string, letters boolean")
 
 
