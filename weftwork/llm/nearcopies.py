@@ -26,7 +26,7 @@ from __future__ import annotations
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
-from functools import reduce
+from functools import lru_cache, reduce
 from itertools import combinations
 
 import numpy as np
@@ -45,8 +45,8 @@ from weftwork.session import cut, salted_join
 MIN_WORDS = 8
 #: Segments of the fingerprint. How full each is over the corpus goes to every task: a byte each, so the bound is 256 KiB.
 FINE = 1 << 18
-#: Coarse segments whose counts, up to 15, fill a long.
-COARSE = 16
+#: Coarse segments whose counts, up to 255, fill a long.
+COARSE = 8
 #: Sides of under twice so many words have one class of axes, of under four times so many two, and so on.
 ONE_CLASS = 20
 
@@ -62,16 +62,17 @@ def _signed(x: int) -> int:
     return x - (1 << 64) if x >= 1 << 63 else x
 
 
+@lru_cache(1 << 16)
 def _segment(word: str) -> int:
     """As pmod(xxhash64(word), FINE) in Spark."""
     return xxhash.xxh64_intdigest(word, seed=42) % FINE
 
 
 def embedded(words: list[str]) -> int:
-    """Bit counts by coarse segment, four bits each: a count over 15 is 15, which never makes distances larger."""
+    """Bit counts by coarse segment, a byte each: a count over 255 is 255, which never makes distances larger."""
     packed = 0
     for s, n in Counter(_segment(w) * COARSE // FINE for w in words).items():
-        packed |= min(n, 15) << 4 * s
+        packed |= min(n, 255) << 8 * s
     return _signed(packed)
 
 
@@ -114,7 +115,7 @@ def segment_fill(reps: DataFrame) -> np.ndarray:
 
 def manhattan(a: Column, b: Column) -> Column:
     """Between two packed embeddings."""
-    parts = [F.abs(F.shiftrightunsigned(a, 4 * i).bitwiseAND(F.lit(15)) - F.shiftrightunsigned(b, 4 * i).bitwiseAND(F.lit(15))) for i in range(COARSE)]
+    parts = [F.abs(F.shiftrightunsigned(a, 8 * i).bitwiseAND(F.lit(255)) - F.shiftrightunsigned(b, 8 * i).bitwiseAND(F.lit(255))) for i in range(COARSE)]
     return reduce(lambda x, y: x + y, parts)
 
 
