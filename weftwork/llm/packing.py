@@ -27,40 +27,46 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WINDOWS = 256
-#: A window is closed with at most this share left free; the share grows by a quarter, up to FREE, when under FEW of the windows close.
-CLOSED, FREE, FEW = 0.004, 0.3, 0.05
-#: Windows that are differenced together once some are closed.
-PART = 32
-#: Orders in which items come together that are tried; the one with fewest windows is taken.
-ORDERS = 4
+#: A window is closed with at most this share left free; the share grows by half, up to FREE, when under FEW of the windows close.
+CLOSED, FREE, FEW = 0.004, 0.5, 0.05
+#: Windows that are differenced together once some are closed: each is tried, and the packing with fewest windows taken.
+PARTS = (64, 32, 16)
 #: Capacities are settings, not data; more than these are refused.
 MOST_PACKS = 1000
 
 
 def difference(sizes: list[int], k: int) -> list[list[int]]:
     """Indices of ``sizes`` in ``k`` windows of nearly equal sums, by multiway differencing."""
-    # A partial partition is (-imbalance, tie, sums in descending order, their members); windows of sum 0 are left out.
-    heap = [(-s, i, [s], [[i]]) for i, s in enumerate(sizes)]
+    # A partial partition is (-imbalance, tie, windows); a window is (sum, tie, item or two windows), the largest first; empty
+    # windows are left out.
+    heap = [(-size, i, [(size, i, i)]) for i, size in enumerate(sizes)]
     heapq.heapify(heap)
     tie = len(sizes)
     while len(heap) > 1:
-        _, _, a, ma = heapq.heappop(heap)
-        _, _, b, mb = heapq.heappop(heap)
-        free = k - len(a)
-        if len(b) <= free:
-            merged = list(zip(a, ma)) + list(zip(b, mb))
-        else:
-            # the largest of b meet the smallest of a
-            over = len(b) - free
-            kept = len(a) - over
-            merged = list(zip(a[:kept], ma[:kept])) + list(zip(b[over:], mb[over:]))
-            merged += [(a[len(a) - 1 - j] + b[j], ma[len(a) - 1 - j] + mb[j]) for j in range(over)]
-        merged.sort(key=lambda x: -x[0])
-        sums = [s for s, _ in merged]
-        imbalance = sums[0] - (sums[-1] if len(sums) == k else 0)
-        heapq.heappush(heap, (-imbalance, tie, sums, [m for _, m in merged]))
+        _, _, a = heapq.heappop(heap)
+        _, _, b = heapq.heappop(heap)
+        # the largest of b meet the smallest of a where there is no room for both
+        over = max(0, len(a) + len(b) - k)
+        kept = len(a) - over
+        merged = a[:kept] + b[over:]
+        for x, y in zip(reversed(a), b[:over]):
+            tie += 1
+            merged.append((x[0] + y[0], tie, (x, y)))
+        merged.sort(reverse=True)
         tie += 1
-    return heap[0][3] if heap else []
+        heapq.heappush(heap, ((merged[-1][0] if len(merged) == k else 0) - merged[0][0], tie, merged))
+    return [_members(w) for w in heap[0][2]] if heap else []
+
+
+def _members(window: tuple) -> list[int]:
+    out, stack = [], [window]
+    while stack:
+        _, _, inside = stack.pop()
+        if isinstance(inside, tuple):
+            stack += inside
+        else:
+            out.append(inside)
+    return out
 
 
 def raised(sizes: list[int], capacity: int) -> list[list[int]]:
@@ -80,8 +86,8 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     if all(sum(sizes[i] for i in w) <= capacity for w in best):
         return best
     best = []
-    for n in range(ORDERS):
-        windows = _closed(sizes, capacity, random.Random(n))
+    for part in PARTS:
+        windows = _closed(sizes, capacity, part)
         if not best or len(windows) < len(best):
             best = windows
         if len(best) <= least:
@@ -89,17 +95,18 @@ def pack(sizes: list[int], capacity: int) -> list[list[int]]:
     return best
 
 
-def _closed(sizes: list[int], capacity: int, order: random.Random) -> list[list[int]]:
-    rest, out, free = list(range(len(sizes))), [], CLOSED
+def _closed(sizes: list[int], capacity: int, part: int) -> list[list[int]]:
+    order = random.Random(part)
+    rest, out, free, more = list(range(len(sizes))), [], CLOSED, 0
     while rest and free < FREE:
         order.shuffle(rest)
         total = sum(sizes[i] for i in rest)
-        parts = max(1, round(total / capacity / PART))
+        parts = max(1, round(total / capacity / part))
         closed, left = [], []
         for p in range(parts):
             mine = rest[p::parts]
             own = [sizes[i] for i in mine]
-            for w in difference(own, max(1, -(-sum(own) // capacity))):
+            for w in difference(own, max(1, -(-sum(own) // capacity)) + more):
                 full = capacity * (1 - free) <= sum(own[i] for i in w) <= capacity
                 if full:
                     closed.append([mine[i] for i in w])
@@ -108,7 +115,8 @@ def _closed(sizes: list[int], capacity: int, order: random.Random) -> list[list[
         out += closed
         rest = left
         if len(closed) * capacity <= total * FEW:
-            free *= 1.25
+            free *= 1.5
+            more = 1 - more  # now and then a window more than the tokens need: fewer exceed the capacity
     return out + [[rest[i] for i in w] for w in raised([sizes[i] for i in rest], capacity)]
 
 
