@@ -5,10 +5,9 @@ from pyspark.sql import functions as F
 from weftwork.functions import text as X
 from weftwork.operators import learn, lexicon, memory, suggest, volume
 
-CORPUS = [
-    ("the cat sleeps", "кот спит"), ("the dog sleeps", "собака спит"), ("the cat eats", "кот ест"), ("the dog eats", "собака ест"),
-    ("the cat drinks", "кот пьёт"), ("the dog drinks", "собака пьёт"), ("a big cat", "большой кот"), ("a big dog", "большая собака"),
-]
+PARTS = {"pump": "насос", "valve": "клапан", "filter": "фильтр"}
+FAULTS = {"leaks": "течёт", "rattles": "гремит", "overheats": "греется"}
+CORPUS = [(f"{p} {f}", f"{q} {g}") for p, q in PARTS.items() for f, g in FAULTS.items()]
 SCHEMA = "id long, src_lang string, tgt_lang string, source string, target string, origin string, use_count long, updated_at timestamp"
 
 
@@ -54,12 +53,12 @@ def test_similarity_is_word_edit_distance(spark):
 
 
 def test_lookup_exact_and_fuzzy(spark):
-    found = memory.lookup(asked(spark, "the cat sleeps", "The cat runs", "unknown words here"), memory.upsert_units(units(spark))).collect()
+    found = memory.lookup(asked(spark, "pump leaks", "Pump stops", "unknown words here"), memory.upsert_units(units(spark))).collect()
     by = {}
     for r in sorted(found, key=lambda r: r["rank"]):
         by.setdefault(r.plain, []).append((r.source, r.percent))
-    assert by["the cat sleeps"][0] == ("the cat sleeps", 100)
-    assert {s for s, _ in by["The cat runs"]} == {"the cat sleeps", "the cat eats", "the cat drinks"} and by["The cat runs"][0][1] == 67
+    assert by["pump leaks"][0] == ("pump leaks", 100)
+    assert {s for s, _ in by["Pump stops"]} == {"pump leaks", "pump rattles", "pump overheats"} and by["Pump stops"][0][1] == 50
     assert "unknown words here" not in by
 
 
@@ -91,25 +90,29 @@ def test_lexicon_learns_translations(spark):
     best = {}
     for r in rows:
         best[r.src_word] = max(best.get(r.src_word, (0, "")), (r.prob, r.tgt_word))
-    assert best["cat"][1] == "кот" and best["dog"][1] == "собака" and best["sleeps"][1] == "спит"
+    assert {w: best[w][1] for w in [*PARTS, *FAULTS]} == PARTS | FAULTS
 
 
 def test_repair_gloss_and_chain(spark):
-    lex = spark.createDataFrame([("en", "ru", "cat", "кот", 0.9), ("en", "ru", "dog", "собака", 0.8), ("en", "ru", "big", "большой", 0.5)], "src_lang string, tgt_lang string, src_word string, tgt_word string, prob double")
-    mem = memory.upsert_units(units(spark, [("the red cat sleeps well", "рыжий Кот спит хорошо")]))
-    got = {r.plain: (r.text, r.provider, r.percent) for r in suggest.suggestions(asked(spark, "the red dog sleeps well", "the red cat sleeps well", "the red fox sleeps well", "Big cat!", "zzz"), mem, lex).collect()}
-    assert got["the red cat sleeps well"] == ("рыжий Кот спит хорошо", suggest.EXACT, 100)
-    assert got["the red dog sleeps well"] == ("рыжий собака спит хорошо", suggest.REPAIRED, 85)
-    assert got["the red fox sleeps well"] == ("рыжий Кот спит хорошо", suggest.FUZZY, 80)
-    assert got["Big cat!"] == ("Большой кот!", suggest.GLOSS, 30) and "zzz" not in got
+    words = [("pump", "насос", 0.9), ("valve", "клапан", 0.8), ("rear", "задний", 0.5), ("front", "передний", 0.7), ("front", "перед", 0.2), ("lamp", "лампа", 0.1)]
+    lex = spark.createDataFrame([("en", "ru", *w) for w in words], "src_lang string, tgt_lang string, src_word string, tgt_word string, prob double")
+    mem = memory.upsert_units(units(spark, [("check the front pump before start", "Проверьте передний Насос, насос перед пуском")]))
+    texts = ["check the front valve before start", "check the front pump before start", "check the front fan before start", "check the rear valve before start", "check the front lamp before start", "Rear pump!", "zzz"]
+    got = {r.plain: (r.text, r.provider, r.percent) for r in suggest.suggestions(asked(spark, *texts), mem, lex).collect()}
+    assert got[texts[1]] == ("Проверьте передний Насос, насос перед пуском", suggest.EXACT, 100)
+    assert got[texts[0]] == ("Проверьте передний клапан, насос перед пуском", suggest.REPAIRED, 88)
+    assert got[texts[3]] == ("Проверьте задний клапан, насос перед пуском", suggest.REPAIRED, 72)
+    assert got[texts[4]] == ("Проверьте передний лампа, насос перед пуском", suggest.REPAIRED, 88)
+    assert got[texts[2]] == ("Проверьте передний Насос, насос перед пуском", suggest.FUZZY, 83)
+    assert got["Rear pump!"] == ("Задний насос!", suggest.GLOSS, 30) and "zzz" not in got
 
 
 def test_bands_repetitions_and_half_even_percent(spark):
     seg = "id long, file_id long, seq int, source string, target string, state string, project_id long, src_lang string, tgt_lang string"
-    texts = ["the cat sleeps", "the cat sleeps", "The  cat sleeps!", "the cat runs", "all of it is new", None, ""]
+    texts = ["pump leaks", "pump leaks", "Pump  leaks!", "pump stops", "all of it is new", None, ""]
     rows = [(n, 1, n, t, "", "new", 7, "en", "ru") for n, t in enumerate(texts)]
     got = {r.band: (r.words, r.segments) for r in volume.volume_bands(spark.createDataFrame(rows, seg), memory.upsert_units(units(spark))).collect()}
-    assert got == {"exact": (3, 1), "repetition": (6, 2), "fuzzy_50_74": (3, 1), "new": (5, 1)}
+    assert got == {"exact": (2, 1), "repetition": (4, 2), "fuzzy_50_74": (2, 1), "new": (5, 1)}
     row = spark.sql("select 0.625D a, 0.745D b, 0.99749D c").select(*[memory.percent(F.col(c)).alias(c) for c in "abc"]).first()
     assert (row.a, row.b, row.c) == (62, 74, 100)
 

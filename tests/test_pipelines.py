@@ -21,14 +21,14 @@ def test_guards():
 
 
 def test_tmx_import_both_ways_counts_repeats(spark):
-    doc = tmx.head("en", "x") + '<tu><tuv xml:lang="en"><seg>cat</seg></tuv><tuv xml:lang="ru"><seg>кот</seg></tuv></tu>' * 2 + tmx.FOOT
+    doc = tmx.head("en", "x") + '<tu><tuv xml:lang="en"><seg>lamp</seg></tuv><tuv xml:lang="ru"><seg>лампа</seg></tuv></tu>' * 2 + tmx.FOOT
     docs = spark.createDataFrame([(1, doc, "en", "ru")], "doc_id long, content string, src_lang string, tgt_lang string")
-    got = {(r.src_lang, r.source, r.target, r.origin, r.use_count) for r in pipelines.import_tmx(units(spark, ("cat", "кот")), docs).collect()}
-    assert got == {("en", "cat", "кот", "manual", 2), ("ru", "кот", "cat", "tmx", 1)}
+    got = {(r.src_lang, r.source, r.target, r.origin, r.use_count) for r in pipelines.import_tmx(units(spark, ("lamp", "лампа")), docs).collect()}
+    assert got == {("en", "lamp", "лампа", "manual", 2), ("ru", "лампа", "lamp", "tmx", 1)}
 
 
 def test_document_pairs_teach_memory_and_lexicon(spark):
-    text = [("the cat sleeps", "кот спит"), ("the dog sleeps", "собака спит"), ("the cat eats", "кот ест"), ("the dog eats", "собака ест")]
+    text = [(f"{a} {n}", f"{b} {n}") for a, b in (("open", "открыть"), ("close", "закрыть")) for n in (7, 8)]
     docs = spark.createDataFrame([(1, "en", "ru", "\n".join(a for a, _ in text), "\n".join(b for _, b in text))], "pair_id long, src_lang string, tgt_lang string, s_text string, t_text string")
     mem, words = pipelines.import_documents(units(spark), docs)
     assert mem.count() == 4 and {r.origin for r in mem.collect()} == {"corpus"} and words.count() > 0

@@ -77,16 +77,84 @@ def test_xliff_units_and_round_trip(spark):
     assert {(r.file_id, r.seq, r.unit_id) for r in xliff.units(files).collect()} == {(1, 1, "1"), (1, 2, "2")}
 
 
-def test_tmx(spark):
-    doc = """<tmx version="1.4"><header/><body><tu><tuv xml:lang="en"><seg>cat</seg></tuv><tuv xml:lang="ru"><seg>кот</seg></tuv></tu>
-    <tu><tuv xml:lang="en-US"><seg>a <bpt i="1">b</bpt>dog</seg></tuv><tuv lang="nl_NL"><seg> een  hond </seg></tuv><tuv lang="nl"><seg>later</seg></tuv></tu></body></tmx>"""
-    assert tmx.pairs_in(doc, "en", "ru") == [("cat", "кот")] and tmx.pairs_in(doc, "ru", "en") == [("кот", "cat")]
-    assert tmx.pairs_in(doc, "en", "nl") == [("a bdog", "een hond")] and tmx.pairs_in("oops", "en", "nl") == []
+def test_xliff_changes_only_what_it_must(spark):
+    doc = """<?xml version='1.0' encoding="UTF-16"?>
+<x:xliff xmlns:x="urn:x" version="1.2"><!-- kept --><x:file original='f' target-language="nl"><x:body><x:group>
+  <x:trans-unit id="a"><x:source>One <x:g id="1">two</x:g></x:source><x:alt-trans><x:source>no</x:source><x:target>no</x:target></x:alt-trans></x:trans-unit>
+  <x:trans-unit id="b"><x:source/><x:target state='new' note="x > y"/></x:trans-unit></x:group></x:body></x:file></x:xliff>"""
+    assert xliff.units_in(doc) == [("a", 'One <g id="1">two</g>', "", "new"), ("b", "", "", "new")]
+    out = xliff.with_translations(doc, {"a": ('Een <g id="1">twee</g>', "translated"), "b": ("", "approved")}, "ru")
+    assert "<!-- kept -->" in out and 'target-language="nl"' in out and """<x:target note="x > y" state="final"></x:target>""" in out.replace("""state="final" note="x > y\"""", """note="x > y" state="final\"""")
+    assert xliff.units_in(out) == [("a", 'One <g id="1">two</g>', 'Een <g id="1">twee</g>', "translated"), ("b", "", "", "translated")]
+    two = """<xliff version="2.0" srcLang="en" trgLang="nl"><file id="f"><unit id="u"><segment id="s"><source>A</source><ignorable/></segment><segment/></unit></file></xliff>"""
+    out = xliff.with_translations(two, {"u//s": ("B", "approved"), "u//1": ("C]]>", "draft")})
+    assert '<segment id="s" state="final"><source>A</source><ignorable/><target>B</target></segment>' in out and "<segment><target>C]]&gt;</target></segment>" in out
+
+
+def test_xliff_files_without_translations_are_written_too(spark):
+    files = spark.createDataFrame([(1, 1, "xliff", X12), (2, 1, "xliff", X12), (3, None, "xliff", X12), (4, 1, "txt", "x"), (5, 1, "xliff", "bad")], "id long, project_id long, kind string, original string")
+    rows = [(1, 1, 1, "1", "eins", "draft"), (2, 1, 2, "1", "zwei", "approved"), (3, 1, 3, "2", None, "new"), (4, 2, 1, "1", "", "new"), (5, 2, 2, "", "x", "draft")]
+    seg = spark.createDataFrame(rows, "id long, file_id long, seq int, unit_id string, target string, state string")
+    docs = {r.file_id: xliff.units_in(r.content) for r in xliff.written(files, seg, spark.createDataFrame([(1, "de")], "id long, tgt_lang string")).collect()}
+    assert set(docs) == {1, 2, 3}
+    assert [u[2:] for u in docs[1]] == [("zwei", "translated"), ("", "translated")] and [u[2:] for u in docs[2]] == [u[2:] for u in docs[3]] == [("", "new"), ("Вес 42,5", "translated")]
+
+
+def pairs_in(spark, doc, src, tgt):
+    docs = spark.createDataFrame([(1, doc, src, tgt)], "doc_id long, content string, src_lang string, tgt_lang string")
+    return [(r.source, r.target) for r in tmx.pairs(docs).orderBy("place").collect()]
+
+
+def test_tmx(spark, tmp_path):
+    doc = """<tmx version="1.4"><header/><body><tu><tuv xml:lang="en"><seg>lamp</seg></tuv><tuv xml:lang="ru"><seg>лампа</seg></tuv></tu>
+    <tu><tuv xml:lang="en-US"><seg>a <bpt i="1">b</bpt>plug</seg></tuv><tuv lang="nl_NL"><seg> een  stekker </seg></tuv><tuv lang="nl"><seg>later</seg></tuv></tu></body></tmx>"""
+    assert pairs_in(spark, doc, "en", "ru") == [("lamp", "лампа")] and pairs_in(spark, doc, "ru", "en") == [("лампа", "lamp")]
+    assert pairs_in(spark, doc, "en", "nl") == [("a bplug", "een stekker")] and pairs_in(spark, "oops", "en", "nl") == []
     docs = spark.createDataFrame([(1, doc, "en", "ru")], "doc_id long, content string, src_lang string, tgt_lang string")
     assert tmx.pairs(docs, both_directions=True).count() == 2
-    mem = spark.createDataFrame([(1, "en", "ru", "A & <B>", "А и Б")], "id long, src_lang string, tgt_lang string, source string, target string")
-    line = tmx.unit_lines(mem).first().line
-    assert tmx.pairs_in(tmx.head("en", "x") + line + tmx.FOOT, "en", "ru") == [("A & <B>", "А и Б")]
+    mem = spark.createDataFrame([(n, "en", "ru", f"A & <B> {n}", f"А и Б {n}") for n in range(9)], "id long, src_lang string, tgt_lang string, source string, target string")
+    line = tmx.unit_lines(mem).orderBy("id").first().line
+    assert pairs_in(spark, tmx.head("en", "x") + line + tmx.FOOT, "en", "ru") == [("A & <B> 0", "А и Б 0")]
+    tmx.write(mem, str(tmp_path / "out"), "en", "ru", "20240101T000000Z", 4)
+    read = [pairs_in(spark, p.read_text(), "en", "ru") for p in (tmp_path / "out").glob("part=*/*.txt")]
+    assert len(read) > 1 and sorted(x for r in read for x in r) == sorted((f"A & <B> {n}", f"А и Б {n}") for n in range(9))
+
+
+def best_by_force(source, target):
+    """(cost, runs) by trying every way."""
+    import math
+    from functools import lru_cache
+
+    @lru_cache(None)
+    def best(i, j):
+        if not i and not j:
+            return 0.0, ()
+        found = []
+        for di, dj in ((2, 1), (1, 2), (1, 1)):
+            if i >= di and j >= dj and best(i - di, j - dj):
+                ls, lt = sum(source[i - di : i]), sum(target[j - dj : j])
+                cost, runs = best(i - di, j - dj)
+                found.append((cost + (10.0 if not ls or not lt else abs(math.log(ls / lt)) + 0.4 * (di + dj - 2)), runs + ((di, dj),)))
+        return min(found, key=lambda f: f[0]) if found else None
+
+    return best(len(source), len(target))
+
+
+def test_beads_are_the_best_ones(monkeypatch):
+    import random
+    import time
+
+    r = random.Random(9)
+    monkeypatch.setattr(align, "KEPT", 4)
+    for _ in range(150):
+        a, b = ([r.randint(0, 60) for _ in range(r.randint(1, 9))] for _ in "ab")
+        want, got = best_by_force(tuple(a), tuple(b)), align.beads(a, b)
+        runs = tuple((y - x, v - u) for x, y, u, v in got)
+        assert runs == (want[1] if want else ((1, 1),) * min(len(a), len(b)))
+    monkeypatch.undo()
+    began = time.time()
+    a = [r.randint(5, 200) for _ in range(1500)]
+    assert align.beads(a, a) == [(i, i + 1, i, i + 1) for i in range(1500)] and time.time() - began < 20
 
 
 def test_alignment(spark):

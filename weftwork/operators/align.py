@@ -2,50 +2,90 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from weftwork.functions.text import paragraphs, split_plain_sentences
 
-#: (source sentences, target sentences) that may stand for each other, and what each further sentence costs.
-BEADS, FURTHER, NOTHING = ((1, 1), (1, 2), (2, 1)), 0.4, 10.0
+#: What each further sentence of a run costs, and what a run without characters does.
+FURTHER, NOTHING = 0.4, 10.0
+#: Diagonals between two that are kept; those between are computed anew on the way back.
+KEPT = 512
+
+
+class _Lattice:
+    """Least costs of aligning the first i source with the first j target sentences, a diagonal i + j at a time.
+
+    Runs are one to one, one to two and two to one, so i lies between a third and two thirds of a diagonal. All of a diagonal
+    depends on the three before it only: its cells are computed together.
+    """
+
+    def __init__(self, source: list[int], target: list[int]):
+        self.n, self.m = len(source), len(target)
+        self.a, self.b = (np.concatenate([[0], np.cumsum(x)]).astype(np.float64) for x in (source, target))
+
+    def _cost(self, i: np.ndarray, j: np.ndarray, di: int, dj: int) -> np.ndarray:
+        ls, lt = self.a[i] - self.a[i - di], self.b[j] - self.b[j - dj]
+        with np.errstate(divide="ignore", invalid="ignore"):
+            return np.where((ls == 0) | (lt == 0), NOTHING, np.abs(np.log(ls / lt)) + FURTHER * (di + dj - 2))
+
+    def diagonal(self, d: int, two: np.ndarray, three: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Costs of diagonal ``d`` by i, and the run that ends in each cell (1: two to one, 2: one to two, 3: one to one)."""
+        best, by = np.full(self.n + 1, np.inf), np.zeros(self.n + 1, np.int8)
+        i = np.arange(max(1, d - self.m, -(-d // 3)), min(self.n, d - 1, 2 * d // 3) + 1)
+        j = d - i
+        # of equal costs the first in this order counts
+        for code, (di, dj), before in ((1, (2, 1), three), (2, (1, 2), three), (3, (1, 1), two)):
+            ok = (i >= di) & (j >= dj)
+            u, v = i[ok], j[ok]
+            cost = before[u - di] + self._cost(u, v, di, dj)
+            less = cost < best[u]
+            best[u[less]], by[u[less]] = cost[less], code
+        return best, by
+
+    def runs(self) -> list[tuple[int, int]] | None:
+        """(source, target) sentences of each run of the best alignment, None if there is none."""
+        none = np.full(self.n + 1, np.inf)
+        start = none.copy()
+        start[0] = 0.0
+        last, kept = [none, none, start], {0: [none, none, start]}
+        for d in range(1, self.n + self.m + 1):
+            last = [last[1], last[2], self.diagonal(d, last[1], last[0])[0]]
+            if d % KEPT == 0:
+                kept[d] = last
+        if not np.isfinite(last[2][self.n]):
+            return None
+        out, i, d = [], self.n, self.n + self.m
+        rows: dict[int, np.ndarray] = {}
+        while d:
+            if d not in rows:
+                base = (d - 1) // KEPT * KEPT
+                last, rows = kept[base], {}
+                for x in range(base + 1, d + 1):
+                    best, rows[x] = self.diagonal(x, last[1], last[0])
+                    last = [last[1], last[2], best]
+            di, dj = ((2, 1), (1, 2), (1, 1))[rows[d][i] - 1]
+            out.append((di, dj))
+            i, d = i - di, d - di - dj
+        return out[::-1]
 
 
 def beads(source: list[int], target: list[int]) -> list[tuple[int, int, int, int]]:
-    """(start, end, start, end) of aligned runs, by the lengths of the sentences; the first of equals counts."""
+    """(start, end, start, end) of aligned runs, by the lengths of the sentences; the first of equals counts.
+
+    Texts of which one has over twice as many sentences have no such runs: their sentences are paired as far as they go.
+    """
     n, m = len(source), len(target)
-    a, b = [0], [0]
-    for x in source:
-        a.append(a[-1] + x)
-    for x in target:
-        b.append(b[-1] + x)
-    best = {(0, 0): (0.0, (0, 0))}
-    for i in range(n + 1):
-        # a cell's targets per source lie between a half and two
-        for j in range(max(0, (i + 1) // 2), min(m, 2 * i) + 1):
-            if (i, j) not in best:
-                continue
-            base = best[i, j][0]
-            for di, dj in BEADS:
-                u, v = i + di, j + dj
-                if u > n or v > m:
-                    continue
-                ls, lt = a[u] - a[i], b[v] - b[j]
-                cost = base + (NOTHING if not ls or not lt else abs(math.log(ls / lt)) + FURTHER * (di + dj - 2))
-                if (u, v) not in best or cost < best[u, v][0]:
-                    best[u, v] = (cost, (di, dj))
-    if (n, m) not in best:
-        return [(i, i + 1, i, i + 1) for i in range(min(n, m))]
-    out, i, j = [], n, m
-    while i or j:
-        di, dj = best[i, j][1]
-        out.append((i - di, i, j - dj, j))
-        i, j = i - di, j - dj
-    return out[::-1]
+    runs = _Lattice(source, target).runs() if n and m and max(n, m) <= 2 * min(n, m) else None
+    out, i, j = [], 0, 0
+    for di, dj in runs if runs is not None else [(1, 1)] * min(n, m):
+        out.append((i, i + di, j, j + dj))
+        i, j = i + di, j + dj
+    return out
 
 
 def _align(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
