@@ -83,3 +83,16 @@ def with_terms(glossary: DataFrame, terms: DataFrame) -> DataFrame:
     clean = terms.select(norm_lang(F.col("src_lang")).alias("src_lang"), norm_lang(F.col("tgt_lang")).alias("tgt_lang"), F.trim("src_term").alias("src_term"), F.trim("tgt_term").alias("tgt_term")).where("src_term <> '' and tgt_term <> ''").distinct()
     new = clean.join(glossary.select(*keys), keys, "left_anti").withColumn("id", F.abs(F.xxhash64(*keys)))
     return glossary.select("id", *keys).unionByName(new.select("id", *keys))
+
+
+def import_counts(pairs: DataFrame) -> DataFrame:
+    """(pairs_found, added): pairs of an import, and those with text on both sides, repeated ones as well; what an import reports."""
+    whole = (collapse(F.col("source")) != "") & (collapse(F.col("target")) != "")
+    return pairs.agg(F.count("*").alias("pairs_found"), F.count_if(whole).alias("added"))
+
+
+def filled_counts(segments: DataFrame, filled: DataFrame) -> DataFrame:
+    """(file_id, open, filled): new segments without a target of each file, and how many of them a pre-translation fills."""
+    empty = segments.where((F.col("state") == "new") & (F.coalesce("target", F.lit("")) == "")).select("id", "file_id")
+    both = empty.join(filled.select("id", F.lit(1).alias("one")), "id", "left")
+    return both.groupBy("file_id").agg(F.count("*").alias("open"), F.count("one").alias("filled"))

@@ -117,17 +117,21 @@ def glossary_issues(pairs: DataFrame, glossary: DataFrame) -> DataFrame:
 
 def omissions(pairs: DataFrame, lexicon: DataFrame, least: float = 0.5, most: int = 3) -> DataFrame:
     """(id, words): up to ``most`` source words, in order, that are sure of a translation and have none of theirs in the target."""
-    prepared = _prepared(pairs).where(~is_blank(T()))
-    words = prepared.select("id", "src_lang", "tgt_lang", "t_words", F.posexplode("s_words").alias("place", "src_word"))
-    words = words.groupBy("id", "src_word").agg(F.min("place").alias("place"), F.first("src_lang").alias("src_lang"), F.first("tgt_lang").alias("tgt_lang"), F.first("t_words").alias("t_words"))
+    texts = pairs.select("id", "src_lang", "tgt_lang", F.coalesce("source", F.lit("")).alias("source"), F.coalesce("target", F.lit("")).alias("target")).where(~is_blank(T()))
+    places = texts.select("id", "src_lang", "tgt_lang", F.posexplode(tokens(S())).alias("place", "src_word"))
     known = lexicon.where(F.col("prob") >= least).groupBy("src_lang", "tgt_lang", "src_word").agg(F.collect_set("tgt_word").alias("trans"))
-    lost = words.join(known, ["src_lang", "tgt_lang", "src_word"]).where(~F.arrays_overlap("trans", "t_words"))
+    # only words that the lexicon knows go on, and meet the targets' words by the pair's id
+    asked = places.join(known, ["src_lang", "tgt_lang", "src_word"]).groupBy("id", "src_word").agg(F.min("place").alias("place"), F.first("trans").alias("trans"))
+    lost = asked.join(texts.select("id", tokens(T()).alias("t_words")), "id").where(~F.arrays_overlap("trans", "t_words"))
     listed = F.slice(F.array_sort(F.collect_list(F.struct("place", "src_word"))), 1, most)
     return lost.groupBy("id").agg(F.array_join(F.transform(listed, lambda x: x["src_word"]), ", ").alias("words"))
 
 
-def report(pairs: DataFrame) -> DataFrame:
-    """(id, errors, warnings, codes) of the pairs that have issues."""
-    found = issues(pairs)
+def report(pairs: DataFrame, glossary: DataFrame | None = None) -> DataFrame:
+    """(id, errors, warnings, codes) of the pairs that have issues; with a glossary a warning for each term that is not kept."""
+    found = issues(pairs).select("id", "place", "code", "severity")
+    if glossary is not None:
+        terms = glossary_issues(pairs, glossary).select("id", F.lit(len(RULES) + 1).alias("place"), F.lit("glossary").alias("code"), F.lit("warning").alias("severity"))
+        found = found.unionByName(terms)
     codes = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("place", "code"))), lambda x: x["code"]), ",")
     return found.groupBy("id").agg(F.count_if(F.col("severity") == "error").alias("errors"), F.count_if(F.col("severity") == "warning").alias("warnings"), codes.alias("codes"))

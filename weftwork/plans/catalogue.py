@@ -28,14 +28,27 @@ def _asked(s: SparkSession, d: str) -> DataFrame:
     return memory.queries_of(_located(s, d), "id")
 
 
+def _asked_by_all(s: SparkSession, d: str) -> DataFrame:
+    """What segments and the memory's own units ask for."""
+    texts = _located(s, d).select("src_lang", "tgt_lang", "source").unionByName(_units(s, d).select("src_lang", "tgt_lang", "source"))
+    return memory.queries_of(texts, "id")
+
+
+def _lexicon(s: SparkSession, d: str) -> DataFrame:
+    """The lexicon, and the words that units of the memory keep as they are."""
+    both = F.array_intersect(X.tokens(F.col("source")), X.tokens(F.col("target")))
+    kept = _memory(s, d).select("src_lang", "tgt_lang", F.explode(both).alias("src_word")).distinct()
+    return t(s, d, "lexicon").unionByName(kept.select("src_lang", "tgt_lang", "src_word", F.col("src_word").alias("tgt_word"), F.lit(1.0).alias("prob"))).distinct()
+
+
 def _units(s: SparkSession, d: str) -> DataFrame:
     """Units as pairs for the quality checks."""
     return t(s, d, "tm_units").select("id", "source", "target", X.norm_lang(F.col("src_lang")).alias("src_lang"), X.norm_lang(F.col("tgt_lang")).alias("tgt_lang"))
 
 
 def _pairs(s: SparkSession, d: str) -> DataFrame:
-    """Segments that have a target, as pairs for the quality checks."""
-    return _located(s, d).where("state <> 'new'").select("id", "source", "target", "src_lang", "tgt_lang")
+    """All segments as pairs for the quality checks."""
+    return _located(s, d).select("id", "source", "target", "src_lang", "tgt_lang")
 
 
 def _token_counts(s: SparkSession, d: str) -> DataFrame:
@@ -71,7 +84,7 @@ def _lookup(mode: str) -> Query:
 
 
 def _exact(s: SparkSession, d: str) -> DataFrame:
-    return memory.exact_matches(_asked(s, d), _memory(s, d))
+    return memory.exact_matches(_asked_by_all(s, d), _memory(s, d))
 
 
 def _bm25(s: SparkSession, d: str) -> DataFrame:
@@ -85,10 +98,25 @@ def _bands(mode: str) -> Query:
 
 
 def _documents(s: SparkSession, d: str, apart: str) -> DataFrame:
-    """Each file's finished segments as a source and a target document."""
-    done = t(s, d, "segments").where("state in ('translated', 'approved') and trim(target) <> ''")
-    part = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", F.trim(F.regexp_replace(c, r"[\r\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]+", " ")).alias("x")))), lambda r: r["x"])
-    return done.groupBy(F.col("file_id").alias("pair_id")).agg(F.array_join(part(F.col("source")), apart).alias("s_text"), F.array_join(part(F.col("target")), apart).alias("t_text"))
+    """Each file's finished segments as a source and a target document; with a line for each the file's name comes first."""
+    done = t(s, d, "segments").where(F.col("state").isin("translated", "approved") & ~X.is_blank(F.col("source")) & ~X.is_blank(F.col("target")))
+    line = lambda c: X.strip_space(F.regexp_replace(c, r"[\r\n\x0b\x0c\x1c-\x1e\x{85}\x{2028}\x{2029}]+", " "))
+    part = lambda c: F.transform(F.array_sort(F.collect_list(F.struct("seq", "id", line(c).alias("x")))), lambda r: r["x"])
+    texts = done.groupBy("file_id").agg(F.array_join(part(F.col("source")), apart).alias("s"), F.array_join(part(F.col("target")), apart).alias("t"))
+    title = F.concat(line(F.concat(F.lit("File "), F.coalesce("name", F.lit("?")))), F.lit(apart)) if apart == "\n" else F.lit("")
+    names = t(s, d, "files").select(F.col("id").alias("file_id"), title.alias("title"))
+    return texts.join(names, "file_id").select(F.col("file_id").alias("pair_id"), F.concat("title", "s").alias("s_text"), F.concat("title", "t").alias("t_text"))
+
+
+def _aligned_lines(s: SparkSession, d: str) -> DataFrame:
+    langs = _located(s, d).select(F.col("file_id").alias("pair_id"), "src_lang", "tgt_lang").distinct()
+    return align.aligned(_documents(s, d, "\n")).join(langs, "pair_id")
+
+
+def _without_article(s: SparkSession, d: str) -> DataFrame:
+    """All pairs, with the Dutch article "de" in two wordings that the Dutch rules object to."""
+    both = _units(s, d).unionByName(_pairs(s, d).withColumn("id", -F.col("id")))
+    return both.withColumn("target", F.regexp_replace(F.regexp_replace("target", "(^| )de ", "$1u heeft "), "(^| )het ", "$1Komma  Splitsing "))
 
 
 def _tmx_round(s: SparkSession, d: str) -> DataFrame:
@@ -127,13 +155,18 @@ def _tmx_import(s: SparkSession, d: str) -> DataFrame:
 def _pair_import(s: SparkSession, d: str) -> DataFrame:
     """The memory with each file's finished segments, aligned again as two documents."""
     langs = _located(s, d).select(F.col("file_id").alias("pair_id"), "src_lang", "tgt_lang").distinct()
+    # the lexicon is trained by lexicon_ibm1
     units, _ = pipelines.import_documents(_memory(s, d), _documents(s, d, "\n").join(langs, "pair_id"), train=False)
     return units.select("src_lang", "tgt_lang", "source", "target", "origin", "use_count")
 
 
 def _panel(s: SparkSession, d: str) -> DataFrame:
-    rows = pipelines.panel(_located(s, d), _memory(s, d), t(s, d, "lexicon"))
-    return rows.select("id", F.size(F.coalesce("matches", F.array())).alias("matches"), "suggestion.provider", "suggestion.percent", F.coalesce(F.size("terms"), F.lit(0)).alias("terms"))
+    rows = pipelines.panel(_located(s, d), _memory(s, d), _lexicon(s, d))
+    best = F.get("matches", F.lit(0))
+    return rows.select(
+        "id", F.size(F.coalesce("matches", F.array())).alias("matches"), best["tm_id"].alias("tm_id"), best["percent"].alias("tm_percent"), "suggestion.text", "suggestion.provider", "suggestion.percent",
+        F.coalesce(F.size("terms"), F.lit(0)).alias("terms"),
+    )
 
 
 def _stream(s: SparkSession, d: str, shape: Callable[[DataFrame], DataFrame], mode: str) -> DataFrame:
@@ -143,9 +176,9 @@ def _stream(s: SparkSession, d: str, shape: Callable[[DataFrame], DataFrame], mo
     from weftwork.session import ensure_checkpoint_dir
     from weftwork.streaming import learning
 
-    name, folder = "stream_" + uuid.uuid4().hex[:8], f"{ensure_checkpoint_dir(s)}/stream-{uuid.uuid4().hex}"
+    folder = f"{ensure_checkpoint_dir(s)}/stream-{uuid.uuid4().hex}"
     events = learning.events_stream(s, d, "confirm_events.parquet")
-    return learning.run_once(shape(events), name, folder, mode)
+    return learning.run_once(shape(events), folder, mode)
 
 
 def _stream_counts(s: SparkSession, d: str) -> DataFrame:
@@ -169,7 +202,7 @@ def queries() -> dict[str, Query]:
         "tm_lookup_top5": _lookup("bm25"),
         "tm_lookup_prefix": _lookup("prefix"),
         "concordance": lambda s, d: memory.concordance(_memory(s, d), "Sensor", "en", "ru").select("id", "source", "target", "use_count"),
-        "concordance_wildcard": lambda s, d: memory.concordance(_memory(s, d), "tool%CS", "en", "nl").select("id", "source", "target", "use_count"),
+        "concordance_wildcard": lambda s, d: memory.concordance(_memory(s, d), "tighten%if", "en", "nl").select("id", "source", "target", "use_count"),
         "tm_export": lambda s, d: _memory(s, d).where("src_lang = 'en' and tgt_lang = 'ru'").select("id", "source", "target").orderBy("id"),
         "project_progress": lambda s, d: volume.project_progress(t(s, d, "projects"), t(s, d, "files"), t(s, d, "segments")),
         "file_progress": lambda s, d: volume.file_progress(t(s, d, "files"), t(s, d, "segments")),
@@ -180,20 +213,24 @@ def queries() -> dict[str, Query]:
         "repetitions": _repetitions,
         "volume_bands": _bands("prefix"),
         "volume_bands_bm25": _bands("bm25"),
-        "qa_report": lambda s, d: quality.report(_pairs(s, d)),
+        "qa_report": lambda s, d: quality.report(_pairs(s, d), t(s, d, "glossary")),
         "qa_report_units": lambda s, d: quality.report(_units(s, d)),
         "qa_glossary": lambda s, d: quality.glossary_issues(_pairs(s, d), t(s, d, "glossary")),
         "qa_omission": lambda s, d: quality.omissions(_pairs(s, d), t(s, d, "lexicon")),
         "lexicon_ibm1": lambda s, d: lexicon.train(_memory(s, d)),
         "lexicon_terms": lambda s, d: lexicon.terms(_located(s, d).select("id", "src_lang", "tgt_lang", "source"), t(s, d, "lexicon")),
         "gloss": lambda s, d: lexicon.gloss(_asked(s, d), t(s, d, "lexicon")),
-        "repair": lambda s, d: lexicon.repair(memory.lookup(_asked(s, d), _memory(s, d), 0.6, 1).where("percent < 100"), t(s, d, "lexicon")),
-        "suggest": lambda s, d: suggest.suggestions(_asked(s, d), _memory(s, d), t(s, d, "lexicon")),
-        "pretranslate": lambda s, d: suggest.pretranslated(_located(s, d), _memory(s, d), t(s, d, "lexicon")),
+        "repair": lambda s, d: lexicon.repair(memory.lookup(_asked(s, d), _memory(s, d), 0.6, 1).where("percent < 100"), _lexicon(s, d)),
+        "suggest": lambda s, d: suggest.suggestions(_asked(s, d), _memory(s, d), _lexicon(s, d)),
+        "pretranslate": lambda s, d: suggest.pretranslated(_located(s, d), _memory(s, d), _lexicon(s, d)),
+        "pretranslate_counts": lambda s, d: pipelines.filled_counts(_located(s, d), suggest.pretranslated(_located(s, d), _memory(s, d), _lexicon(s, d))),
         "align_lines": lambda s, d: align.aligned(_documents(s, d, "\n")),
         "align_lengths": lambda s, d: align.aligned(_documents(s, d, " ")),
+        "pair_import_counts": lambda s, d: pipelines.import_counts(_aligned_lines(s, d)),
+        "export_txt_parts": lambda s, d: plain.exported_parts(t(s, d, "segments"), 5),
         "export_txt": lambda s, d: plain.exported(t(s, d, "segments")),
         "tmx_lines": lambda s, d: tmx.unit_lines(_memory(s, d)),
+        "tmx_documents": lambda s, d: tmx.documents(_memory(s, d), "20240101T000000Z"),
         "tmx_round_trip": _tmx_round,
         "xliff_units": lambda s, d: xliff.units(t(s, d, "files").where("kind = 'xliff'")),
         "xliff_round_trip": _xliff_round,
@@ -209,6 +246,9 @@ def queries() -> dict[str, Query]:
         "stream_confirm_once": _stream_once,
     }
     for code in quality.CODES:
+        if code in ("nl_compound", "nl_style"):
+            found[f"qa_{code}"] = lambda s, d, c=code: quality.issues(_without_article(s, d), [c]).select("id", "severity")
+            continue
         found[f"qa_{code}"] = lambda s, d, c=code: quality.issues(_units(s, d).unionByName(_pairs(s, d).withColumn("id", -F.col("id"))), [c]).select("id", "severity")
     return found
 

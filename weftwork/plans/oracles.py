@@ -122,7 +122,7 @@ SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY p_no, s_no)::INT
 def _quality() -> dict[str, str]:
     rows = f"""WITH {LOCATED}, pair AS (
   SELECT id, coalesce(source, '') AS s, coalesce(target, '') AS t, {lang("src_lang")} AS src_lang, {lang("tgt_lang")} AS tgt_lang FROM tm_units
-  UNION ALL SELECT -id, coalesce(source, ''), coalesce(target, ''), src_lang, tgt_lang FROM loc WHERE state <> 'new'),
+  UNION ALL SELECT -id, coalesce(source, ''), coalesce(target, ''), src_lang, tgt_lang FROM loc),
 row AS (SELECT *, {toks("s")} AS sw, {toks("t")} AS tw, regexp_replace(s, '^{SPACE}+|{SPACE}+$', '', 'g') AS ss,
   regexp_replace(t, '^{SPACE}+|{SPACE}+$', '', 'g') AS ts FROM pair),
 r AS (SELECT * FROM row WHERE ts <> '')"""
@@ -155,15 +155,20 @@ r AS (SELECT * FROM row WHERE ts <> '')"""
     report = ", issue AS (" + " UNION ALL ".join(cases) + """)
 SELECT #ID AS id, count(*) FILTER (severity = 'error') AS errors, count(*) FILTER (severity = 'warning') AS warnings, string_agg(code, ',' ORDER BY place) AS codes
 FROM issue WHERE #SIDE GROUP BY id"""
-    out["qa_report"] = rows + report.replace("#ID", "-id").replace("#SIDE", "id < 0")
     out["qa_report_units"] = rows + report.replace("#ID", "id").replace("#SIDE", "id > 0")
+    dutch = rows.replace("regexp_replace(t, '^", "regexp_replace(t, '^").replace("row AS (SELECT *,", r"old AS (SELECT * FROM pair), changed AS (SELECT * REPLACE (regexp_replace(regexp_replace(t, '(^| )de ', '\1u heeft ', 'g'), '(^| )het ', '\1Komma  Splitsing ', 'g') AS t) FROM old), row AS (SELECT *,").replace("'g') AS ts FROM pair)", "'g') AS ts FROM changed)")
+    for code in ("nl_compound", "nl_style"):
+        out[f"qa_{code}"] = f"{dutch} SELECT id, '{rules[code][0]}' AS severity FROM r WHERE {rules[code][1]}"
     words = lambda c: f"' ' || array_to_string(regexp_extract_all(lower({c}), '{WORD}'), ' ') || ' '"
-    out["qa_glossary"] = f"""WITH {LOCATED}, r AS (SELECT id, src_lang, tgt_lang, lower(coalesce(source, '')) AS s, lower(coalesce(target, '')) AS t, {words("coalesce(source, '')")} AS sw FROM loc WHERE state <> 'new'),
+    out["qa_glossary"] = f"""WITH {LOCATED}, r AS (SELECT id, src_lang, tgt_lang, lower(coalesce(source, '')) AS s, lower(coalesce(target, '')) AS t, {words("coalesce(source, '')")} AS sw FROM loc),
 g AS (SELECT DISTINCT src_lang, tgt_lang, src_term, tgt_term, lower(src_term) AS ls, lower(tgt_term) AS lt, {words("src_term")} AS gw FROM glossary)
 SELECT DISTINCT r.id, src_term, tgt_term FROM r JOIN g USING (src_lang, tgt_lang)
 WHERE regexp_replace(t, '{SPACE}', '', 'g') <> '' AND contains(s, ls) AND contains(sw, gw) AND NOT contains(t, lt)"""
+    terms = out["qa_glossary"].removeprefix(f"WITH {LOCATED}, ").replace("r AS (", "gr AS (", 1).replace("FROM r JOIN g", "FROM gr AS r JOIN g").replace("SELECT DISTINCT r.id", ", gi AS (SELECT DISTINCT r.id") + ")"
+    with_terms = report.replace(", issue AS (", f", {terms}, issue AS (SELECT -id AS id, {len(rules) + 1} AS place, 'glossary' AS code, 'warning' AS severity FROM gi UNION ALL ")
+    out["qa_report"] = rows + with_terms.replace("#ID", "-id").replace("#SIDE", "id < 0")
     out["qa_omission"] = f"""WITH {LOCATED}, r AS (SELECT id, src_lang, tgt_lang, {toks("source")} AS sw, {toks("target")} AS tw FROM loc
-  WHERE state <> 'new' AND regexp_replace(target, '{SPACE}', '', 'g') <> ''),
+  WHERE regexp_replace(target, '{SPACE}', '', 'g') <> ''),
 w AS (SELECT id, src_lang, tgt_lang, tw, src_word, min(place) AS place FROM (SELECT *, generate_subscripts(sw, 1) AS place, unnest(sw) AS src_word FROM r) GROUP BY ALL),
 k AS (SELECT src_lang, tgt_lang, src_word, list(tgt_word) AS trans FROM lexicon WHERE prob >= 0.5 GROUP BY ALL),
 l AS (SELECT id, src_word, row_number() OVER (PARTITION BY id ORDER BY place) AS n FROM w JOIN k USING (src_lang, tgt_lang, src_word) WHERE NOT list_has_any(trans, tw))
@@ -196,6 +201,74 @@ taught AS (SELECT src_lang, tgt_lang, source, target, count(*) AS confirmations
   WHERE source <> '' AND target <> '' GROUP BY ALL)"""
 
 
+LEXICON = f"""lx AS (SELECT src_lang, tgt_lang, src_word, tgt_word, prob FROM lexicon
+  UNION SELECT src_lang, tgt_lang, w, w, 1.0 FROM (SELECT src_lang, tgt_lang, unnest(list_intersect({toks("source")}, {toks("target")})) AS w FROM mem)),
+lxk AS (SELECT src_lang, tgt_lang, src_word, list(tgt_word ORDER BY prob DESC, tgt_word) AS ts, list(tgt_word ORDER BY prob DESC, tgt_word) FILTER (prob >= 0.25) AS sure FROM lx GROUP BY ALL)"""
+
+
+def _repair() -> str:
+    """Steps old word by old word: rp1 and rp2 have the text after the first and the second exchange."""
+    word = r"[\p{L}\p{N}_]"
+    hit = lambda c, sure: f"list_filter(coalesce({sure}, []), lambda t: list_contains({toks(c)}, t))[1]"
+    put = lambda c, h, p: rf"regexp_replace({c}, '(^|[^\p{{L}}\p{{N}}_])(?i:' || {h} || ')($|[^\p{{L}}\p{{N}}_])', '\1' || {p} || '\2')"
+    return f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_lang, tgt_lang, plain ORDER BY score DESC, use_count DESC, exact DESC, id) AS rank FROM hits WHERE raw >= 0.6) WHERE rank = 1),
+ex AS (SELECT src_lang, tgt_lang, plain, id, target, list_filter(mt, lambda w: NOT list_contains(qt, w)) AS gone, list_filter(qt, lambda w: NOT list_contains(mt, w)) AS come FROM best WHERE percent < 100),
+rp1 AS (SELECT ex.*, {put("target", hit("target", "o.sure"), "n.ts[1]")} AS one FROM ex JOIN lxk o ON o.src_lang = ex.src_lang AND o.tgt_lang = ex.tgt_lang AND o.src_word = gone[1]
+  JOIN lxk n ON n.src_lang = ex.src_lang AND n.tgt_lang = ex.tgt_lang AND n.src_word = come[1] WHERE len(gone) BETWEEN 1 AND 2 AND len(gone) = len(come) AND {hit("target", "o.sure")} IS NOT NULL),
+rp2 AS (SELECT rp1.*, CASE WHEN len(gone) = 1 THEN one ELSE {put("one", hit("one", "o.sure"), "n.ts[1]")} END AS two FROM rp1
+  LEFT JOIN lxk o ON o.src_lang = rp1.src_lang AND o.tgt_lang = rp1.tgt_lang AND o.src_word = gone[2] LEFT JOIN lxk n ON n.src_lang = rp1.src_lang AND n.tgt_lang = rp1.tgt_lang AND n.src_word = come[2]),
+fix AS (SELECT src_lang, tgt_lang, plain, id, two AS repaired FROM rp2 WHERE two IS NOT NULL AND two <> target)"""
+
+
+def _suggest() -> str:
+    return rf"""gp AS (SELECT src_lang, tgt_lang, plain, generate_subscripts(ps, 1) AS place, unnest(ps) AS piece FROM (SELECT *, regexp_extract_all(plain, '{WORD}|[^\p{{L}}\p{{N}}_]+') AS ps FROM q)),
+gy AS (SELECT gp.*, lxk.ts[1] AS tw FROM gp LEFT JOIN lxk ON lxk.src_lang = gp.src_lang AND lxk.tgt_lang = gp.tgt_lang AND lxk.src_word = lower(piece)),
+gl AS (SELECT src_lang, tgt_lang, plain, string_agg(CASE WHEN tw IS NULL THEN piece WHEN regexp_matches(piece, '^\p{{Lu}}') THEN upper(tw[1:1]) || tw[2:] ELSE tw END, '' ORDER BY place) AS gloss FROM gy GROUP BY ALL HAVING count(tw) > 0),
+sug AS (SELECT * FROM (SELECT src_lang, tgt_lang, plain,
+    CASE WHEN percent >= 100 THEN target WHEN repaired IS NOT NULL THEN repaired WHEN percent IS NOT NULL THEN target ELSE gloss END AS text,
+    CASE WHEN percent >= 100 THEN 'TM (exact)' WHEN repaired IS NOT NULL THEN 'TM + lexicon repair' WHEN percent IS NOT NULL THEN 'TM (fuzzy)' ELSE 'Lexicon gloss (rough draft)' END AS provider,
+    CASE WHEN percent >= 100 THEN 100 WHEN repaired IS NOT NULL THEN least(99, percent + 5) WHEN percent IS NOT NULL THEN percent ELSE 30 END::INT AS percent
+  FROM q LEFT JOIN (SELECT src_lang, tgt_lang, plain, target, percent FROM best) USING (src_lang, tgt_lang, plain)
+    LEFT JOIN (SELECT src_lang, tgt_lang, plain, repaired FROM fix) USING (src_lang, tgt_lang, plain) LEFT JOIN gl USING (src_lang, tgt_lang, plain)) WHERE text IS NOT NULL)"""
+
+
+def _chain() -> dict[str, str]:
+    start = f"WITH {MEMORY}, {LOCATED}, {ASKED}, {SCORED}, {LEXICON}, {_repair()}"
+    whole = f"{start}, {_suggest()}"
+    filled = f"""fill AS (SELECT loc.id, file_id, text FROM loc JOIN sug ON sug.src_lang = loc.src_lang AND sug.tgt_lang = loc.tgt_lang AND sug.plain = {plain("source")}
+  WHERE state = 'new' AND coalesce(target, '') = '' AND percent >= 50)"""
+    return {
+        "repair": f"{start} SELECT * FROM fix",
+        "suggest": f"{whole} SELECT * FROM sug",
+        "pretranslate": f"{whole}, {filled} SELECT id, text AS target, 'draft' AS state FROM fill",
+        "pretranslate_counts": f"""{whole}, {filled} SELECT loc.file_id, count(*) AS open, count(fill.id) AS filled FROM loc LEFT JOIN fill ON fill.id = loc.id
+          WHERE state = 'new' AND coalesce(target, '') = '' GROUP BY 1""",
+        "panel": f"""{whole}, r4 AS (SELECT *, row_number() OVER (PARTITION BY src_lang, tgt_lang, plain ORDER BY score DESC, use_count DESC, exact DESC, id) AS k FROM hits),
+          four AS (SELECT src_lang, tgt_lang, plain, count(*)::INT AS n, min(id) FILTER (k = 1) AS tm_id, min(percent) FILTER (k = 1) AS tm_percent FROM r4 WHERE k <= 4 GROUP BY ALL),
+          tw AS (SELECT DISTINCT id, src_lang, tgt_lang, unnest({toks("source")}) AS src_word FROM loc),
+          tn AS (SELECT id, least(12, count(*)) AS n FROM tw JOIN lxk USING (src_lang, tgt_lang, src_word) GROUP BY 1),
+          p AS (SELECT id, src_lang, tgt_lang, {plain("source")} AS plain FROM loc)
+          SELECT p.id, coalesce(four.n, 0)::INT AS matches, tm_id, tm_percent, text, provider, percent, coalesce(tn.n, 0)::INT AS terms FROM p LEFT JOIN four USING (src_lang, tgt_lang, plain)
+          LEFT JOIN sug USING (src_lang, tgt_lang, plain) LEFT JOIN tn ON tn.id = p.id""",
+    }
+
+
+def _documents() -> dict[str, str]:
+    line = lambda c: rf"regexp_replace(regexp_replace({c}, '[\r\n\x0b\x0c\x1c-\x1e\x{{85}}\x{{2028}}\x{{2029}}]+', ' ', 'g'), '^{SPACE}+|{SPACE}+$', '', 'g')"
+    full = lambda c: f"regexp_replace(coalesce({c}, ''), '{SPACE}', '', 'g') <> ''"
+    title = line("'File ' || coalesce(f.name, '?')")
+    pairs = f"""al AS (SELECT f.id AS pair_id, {lang("p.src_lang")} AS src_lang, {lang("p.tgt_lang")} AS tgt_lang, seq, s.id AS seg, {line("source")} AS source, {line("target")} AS target
+      FROM segments s JOIN files f ON f.id = s.file_id JOIN projects p ON p.id = f.project_id WHERE state IN {DONE} AND {full("source")} AND {full("target")}),
+    whole AS (SELECT * FROM al UNION ALL SELECT DISTINCT pair_id, src_lang, tgt_lang, NULL::INT, NULL::BIGINT, {title}, {title} FROM al JOIN files f ON f.id = pair_id)"""
+    return {
+        "align_lines": f"WITH {pairs} SELECT pair_id, (row_number() OVER (PARTITION BY pair_id ORDER BY seg IS NOT NULL, seq, seg) - 1)::INT AS place, source, target FROM whole",
+        "pair_import_counts": f"WITH {pairs} SELECT count(*) AS pairs_found, count(*) AS added FROM whole",
+        "pair_import": f"""WITH {MEMORY}, {pairs}, a AS (SELECT src_lang, tgt_lang, source, target, origin, use_count, 0 AS later FROM mem
+            UNION ALL SELECT src_lang, tgt_lang, {collapse("source")}, {collapse("target")}, 'corpus', 0, 1 FROM whole)
+          SELECT src_lang, tgt_lang, source, target, min(struct_pack(i := later, o := origin)).o AS origin, (sum(use_count) + count(*) - 1)::BIGINT AS use_count FROM a GROUP BY src_lang, tgt_lang, source, target""",
+    }
+
+
 def all_sql() -> dict[str, str]:
     progress = f"count(s.id) AS segments, count(s.id) FILTER (s.state IN {DONE}) AS done"
     escaped = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -204,12 +277,12 @@ def all_sql() -> dict[str, str]:
         "tm_stats": f"SELECT {lang('src_lang')} AS src_lang, {lang('tgt_lang')} AS tgt_lang, count(*) AS units FROM tm_units GROUP BY ALL",
         "tm_upsert": f"WITH {MEMORY} SELECT * EXCLUDE (updated_at), epoch_us(updated_at) AS updated_us FROM mem",
         "tm_export": f"WITH {MEMORY} SELECT id, source, target FROM mem WHERE src_lang = 'en' AND tgt_lang = 'ru' ORDER BY id",
-        "tm_exact": f"WITH {MEMORY}, {LOCATED}, {ASKED} SELECT q.src_lang, q.tgt_lang, plain, id FROM q JOIN mem ON mem.src_lang = q.src_lang AND mem.tgt_lang = q.tgt_lang AND mem.source = plain",
+        "tm_exact": f"WITH {MEMORY}, {LOCATED}, q AS (SELECT DISTINCT src_lang, tgt_lang, {plain('source')} AS plain FROM (SELECT src_lang, tgt_lang, source FROM loc UNION ALL SELECT {lang('src_lang')}, {lang('tgt_lang')}, source FROM tm_units)) SELECT q.src_lang, q.tgt_lang, plain, id FROM q JOIN mem ON mem.src_lang = q.src_lang AND mem.tgt_lang = q.tgt_lang AND mem.source = plain",
         "tm_bm25_top80": f"WITH {MEMORY}, {LOCATED}, {ASKED}, {_bm25()} SELECT src_lang, tgt_lang, plain, id, round(bm25, 6) AS bm25, place FROM cand",
         "tm_lookup_prefix": _lookup(_ALL_HITS, "allhits"),
         "tm_lookup_top5": _lookup(f"{_bm25()}, {_BM_HITS}", "bmhits"),
         "concordance": _concordance("Sensor", "en", "ru"),
-        "concordance_wildcard": _concordance("tool%CS", "en", "nl"),
+        "concordance_wildcard": _concordance("tighten%if", "en", "nl"),
         "project_progress": f"""SELECT p.id, CASE WHEN trim(coalesce(p.name, '')) = '' THEN 'Untitled' ELSE p.name END AS name, count(DISTINCT f.id) AS files, {progress}
           FROM projects p LEFT JOIN files f ON f.project_id = p.id LEFT JOIN segments s ON s.file_id = f.id GROUP BY p.id, p.name""",
         "file_progress": f"SELECT f.id, f.project_id, f.name, {progress} FROM files f LEFT JOIN segments s ON s.file_id = f.id GROUP BY f.id, f.project_id, f.name",
@@ -221,6 +294,13 @@ def all_sql() -> dict[str, str]:
         "volume_bands": _bands(_ALL_HITS, "allhits"),
         "volume_bands_bm25": _bands(f"{_bm25()}, {_BM_HITS}", "bmhits"),
         **_quality(),
+        **_chain(),
+        **_documents(),
+        "export_txt_parts": "SELECT file_id, seq // 5 AS part, string_agg(coalesce(nullif(target, ''), source, ''), chr(10) ORDER BY seq, id) AS content FROM segments GROUP BY ALL",
+        "tmx_documents": f"""WITH {MEMORY}, l AS (SELECT id, src_lang, tgt_lang, '<tu><tuv xml:lang="' || src_lang || '"><seg>' || {escaped("source")} || '</seg></tuv><tuv xml:lang="'
+            || tgt_lang || '"><seg>' || {escaped("target")} || '</seg></tuv></tu>' AS line FROM mem)
+          SELECT src_lang, tgt_lang, 0 AS part, '<?xml version="1.0" encoding="UTF-8"?>' || chr(10) || '<tmx version="1.4"><header creationtool="weftwork" creationtoolversion="1" segtype="sentence" o-tmf="none" adminlang="en" srclang="'
+            || src_lang || '" datatype="plaintext" creationdate="20240101T000000Z"/><body>' || chr(10) || string_agg(line, chr(10) ORDER BY id) || chr(10) || '</body></tmx>' AS content FROM l GROUP BY src_lang, tgt_lang""",
         "lexicon_ibm1": _ibm1(),
         "lexicon_terms": f"""WITH {LOCATED}, w AS (SELECT id, src_lang, tgt_lang, src_word, min(place) AS place FROM
             (SELECT id, src_lang, tgt_lang, generate_subscripts(ts, 1) AS place, unnest(ts) AS src_word FROM (SELECT *, {toks("source")} AS ts FROM loc)) GROUP BY ALL),
