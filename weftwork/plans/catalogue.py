@@ -220,7 +220,7 @@ def queries() -> dict[str, Query]:
         "lexicon_ibm1": lambda s, d: lexicon.train(_memory(s, d)),
         "lexicon_terms": lambda s, d: lexicon.terms(_located(s, d).select("id", "src_lang", "tgt_lang", "source"), t(s, d, "lexicon")),
         "gloss": lambda s, d: lexicon.gloss(_asked(s, d), t(s, d, "lexicon")),
-        "repair": lambda s, d: lexicon.repair(memory.lookup(_asked(s, d), _memory(s, d), 0.6, 1).where("percent < 100"), _lexicon(s, d)),
+        "repair": lambda s, d: lexicon.repair(memory.lookup(memory.queries_of(_memory(s, d), "id"), _memory(s, d), 0.6, 3).where("percent < 100"), _lexicon(s, d)),
         "suggest": lambda s, d: suggest.suggestions(_asked(s, d), _memory(s, d), _lexicon(s, d)),
         "pretranslate": lambda s, d: suggest.pretranslated(_located(s, d), _memory(s, d), _lexicon(s, d)),
         "pretranslate_counts": lambda s, d: pipelines.filled_counts(_located(s, d), suggest.pretranslated(_located(s, d), _memory(s, d), _lexicon(s, d))),

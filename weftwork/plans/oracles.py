@@ -206,12 +206,11 @@ LEXICON = f"""lx AS (SELECT src_lang, tgt_lang, src_word, tgt_word, prob FROM le
 lxk AS (SELECT src_lang, tgt_lang, src_word, list(tgt_word ORDER BY prob DESC, tgt_word) AS ts, list(tgt_word ORDER BY prob DESC, tgt_word) FILTER (prob >= 0.25) AS sure FROM lx GROUP BY ALL)"""
 
 
-def _repair() -> str:
+def _repair(best: int = 1) -> str:
     """Steps old word by old word: rp1 and rp2 have the text after the first and the second exchange."""
-    word = r"[\p{L}\p{N}_]"
     hit = lambda c, sure: f"list_filter(coalesce({sure}, []), lambda t: list_contains({toks(c)}, t))[1]"
     put = lambda c, h, p: rf"regexp_replace({c}, '(^|[^\p{{L}}\p{{N}}_])(?i:' || {h} || ')($|[^\p{{L}}\p{{N}}_])', '\1' || {p} || '\2')"
-    return f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_lang, tgt_lang, plain ORDER BY score DESC, use_count DESC, exact DESC, id) AS rank FROM hits WHERE raw >= 0.6) WHERE rank = 1),
+    return f"""best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY src_lang, tgt_lang, plain ORDER BY score DESC, use_count DESC, exact DESC, id) AS rank FROM hits WHERE raw >= 0.6) WHERE rank <= {best}),
 ex AS (SELECT src_lang, tgt_lang, plain, id, target, list_filter(mt, lambda w: NOT list_contains(qt, w)) AS gone, list_filter(qt, lambda w: NOT list_contains(mt, w)) AS come FROM best WHERE percent < 100),
 rp1 AS (SELECT ex.*, {put("target", hit("target", "o.sure"), "n.ts[1]")} AS one FROM ex JOIN lxk o ON o.src_lang = ex.src_lang AND o.tgt_lang = ex.tgt_lang AND o.src_word = gone[1]
   JOIN lxk n ON n.src_lang = ex.src_lang AND n.tgt_lang = ex.tgt_lang AND n.src_word = come[1] WHERE len(gone) BETWEEN 1 AND 2 AND len(gone) = len(come) AND {hit("target", "o.sure")} IS NOT NULL),
@@ -238,7 +237,7 @@ def _chain() -> dict[str, str]:
     filled = f"""fill AS (SELECT loc.id, file_id, text FROM loc JOIN sug ON sug.src_lang = loc.src_lang AND sug.tgt_lang = loc.tgt_lang AND sug.plain = {plain("source")}
   WHERE state = 'new' AND coalesce(target, '') = '' AND percent >= 50)"""
     return {
-        "repair": f"{start} SELECT * FROM fix",
+        "repair": f"WITH {MEMORY}, q AS (SELECT *, {toks('plain')} AS qt FROM (SELECT DISTINCT src_lang, tgt_lang, {plain('source')} AS plain FROM mem) WHERE plain <> ''), {SCORED}, {LEXICON}, {_repair(3)} SELECT * FROM fix",
         "suggest": f"{whole} SELECT * FROM sug",
         "pretranslate": f"{whole}, {filled} SELECT id, text AS target, 'draft' AS state FROM fill",
         "pretranslate_counts": f"""{whole}, {filled} SELECT loc.file_id, count(*) AS open, count(fill.id) AS filled FROM loc LEFT JOIN fill ON fill.id = loc.id
@@ -269,6 +268,28 @@ def _documents() -> dict[str, str]:
     }
 
 
+def _xliff() -> dict[str, str]:
+    """Units of XLIFF 1.2 by patterns, as far as documents are written the plain way that these are."""
+    attr = lambda c, name: rf"regexp_extract({c}, '\s{name}=\"([^\"]*)\"', 1)"
+    inner = lambda name: rf"regexp_extract(u, '(?s)<{name}(?:\s[^>]*[^/>])?>(.*?)</{name}>', 1)"
+    units = rf"""u AS (SELECT id AS file_id, doc, generate_subscripts(us, 1) AS n, unnest(us) AS u FROM (SELECT id, original AS doc, regexp_extract_all(original, '(?s)<trans-unit[\s>].*?</trans-unit>') AS us FROM files WHERE kind = 'xliff' AND original IS NOT NULL)),
+    v AS (SELECT file_id, row_number() OVER (PARTITION BY file_id ORDER BY n)::INT AS seq, {attr("regexp_extract(doc, '<file[^>]*>')", "source-language")} AS src_lang, {attr("regexp_extract(doc, '<file[^>]*>')", "target-language")} AS tgt_lang,
+      {attr("regexp_extract(u, '<trans-unit[^>]*>')", "id")} AS unit_id, {inner("source")} AS source, {inner("target")} AS target, {attr("regexp_extract(u, '<target[^>]*>')", "state")} AS st
+      FROM u WHERE regexp_matches(u, '<source') AND {attr("regexp_extract(u, '<trans-unit[^>]*>')", "translate")} <> 'no')"""
+    # markup whose tags are as many opening as closing stays, with empty elements closed at once; else it is text
+    tags = lambda pattern: f"len(regexp_extract_all(l.target, '{pattern}'))"
+    whole = rf"{tags('<[a-z](?:[^<>]*[^/<>])?>')} = {tags('</[a-z]+>')} AND {tags('<')} = {tags('</?[a-z][^<>]*>')} AND {tags('&')} = {tags('&(?:amp|lt|gt|quot|#[0-9]+);')}"
+    text = "replace(replace(replace(l.target, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
+    put = rf"CASE WHEN {whole} THEN regexp_replace(l.target, '(<[a-z](?:[^<>]*[^/<>])?)></[a-z]+>', '\1/>', 'g') ELSE {text} END"
+    state = "CASE WHEN st IN ('translated', 'signed-off', 'final') THEN 'translated' WHEN target <> '' THEN 'draft' ELSE 'new' END"
+    return {
+        "xliff_units": f"WITH {units} SELECT file_id, seq, src_lang, tgt_lang, unit_id, source, target, {state} AS state FROM v",
+        "xliff_round_trip": f"""WITH {units}, last AS (SELECT DISTINCT ON (file_id, unit_id) file_id, unit_id, coalesce(target, '') AS target, coalesce(state, '') AS state FROM segments WHERE unit_id <> '' ORDER BY file_id, unit_id, seq DESC, id DESC),
+          w AS (SELECT file_id, unit_id, coalesce({put}, v.target) AS target, CASE l.state WHEN 'draft' THEN 'new' WHEN 'translated' THEN 'translated' WHEN 'approved' THEN 'final' ELSE st END AS st
+            FROM v LEFT JOIN last l USING (file_id, unit_id)) SELECT file_id, unit_id, target, {state} AS state FROM w""",
+    }
+
+
 def all_sql() -> dict[str, str]:
     progress = f"count(s.id) AS segments, count(s.id) FILTER (s.state IN {DONE}) AS done"
     escaped = lambda c: f"replace(replace(replace({c}, '&', '&amp;'), '<', '&lt;'), '>', '&gt;')"
@@ -296,6 +317,7 @@ def all_sql() -> dict[str, str]:
         **_quality(),
         **_chain(),
         **_documents(),
+        **_xliff(),
         "export_txt_parts": "SELECT file_id, seq // 5 AS part, string_agg(coalesce(nullif(target, ''), source, ''), chr(10) ORDER BY seq, id) AS content FROM segments GROUP BY ALL",
         "tmx_documents": f"""WITH {MEMORY}, l AS (SELECT id, src_lang, tgt_lang, '<tu><tuv xml:lang="' || src_lang || '"><seg>' || {escaped("source")} || '</seg></tuv><tuv xml:lang="'
             || tgt_lang || '"><seg>' || {escaped("target")} || '</seg></tuv></tu>' AS line FROM mem)
