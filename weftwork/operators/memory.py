@@ -5,13 +5,23 @@ Columns of a memory: id, src_lang, tgt_lang, source, target, origin, use_count,
 
 from __future__ import annotations
 
+import math
+from itertools import combinations
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
 
 from weftwork.functions.text import collapse, norm_lang, strip_tags, tokens_of_plain, words_as_hashed_symbols, words_as_symbols
+from weftwork.session import cut
 
-#: Slots in which words are counted to order them by rarity: the table that is broadcast has a row each at most.
+#: Slots in which words are counted to order them by rarity: the table that is broadcast has a byte each.
 SLOTS = 1 << 16
+#: Texts of under twice so many words have one class of words in the search for candidates, of under four times so many two.
+ONE_CLASS = 16
+_MASK = (1 << 64) - 1
 #: Parameters of BM25 and of the candidates' search.
 K1, B, CANDIDATES, TERMS = 1.2, 0.75, 80, 12
 
@@ -92,29 +102,62 @@ def numbered(words: Column) -> Column:
     return F.when(F.size(F.array_distinct(words)) == F.size(words), F.transform(words, lambda w: F.concat(w, F.lit("\t1")))).otherwise(repeats)
 
 
-def _slot(c: Column) -> Column:
-    return F.pmod(F.xxhash64(c), F.lit(SLOTS)).cast("int")
+def slot_fill(texts: DataFrame) -> bytes:
+    """How many words fall into each of SLOTS hash slots, in logarithmic steps: a byte each."""
+    slot = F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")
+    counts = texts.select(F.explode("toks").alias("w")).groupBy(slot).count().toPandas()  # SLOTS rows at most
+    fill = np.zeros(SLOTS, np.uint8)
+    fill[counts.slot.to_numpy()] = np.minimum(255, 1 + 8 * np.log2(counts["count"].to_numpy()))
+    return fill.tobytes()
+
+
+def cells_of(hashes: list[int], fill: bytes, least: float, seed: int) -> list[int]:
+    """Cells in which a text of these words meets every text of a similarity of ``least``: two words that both have, by hash.
+
+    Texts of that similarity share ``ceil(least * longer)`` words. Of the rarest ``n - ceil(least * n) + k + 1`` words of either
+    they share k + 1, so two of these fall into one of k classes of words. The shorter text's length decides on k, a power of two,
+    by which the cells grow with the words and not with their square; a text enters the cells of all lengths it may meet. Texts of
+    which a single word is enough meet by single words as well.
+    """
+    n = len(hashes)
+    seen: dict[int, int] = {}
+    order = []
+    for h in hashes:
+        seen[h] = seen.get(h, 0) + 1  # repeats count as words of their own
+        order.append((fill[h % SLOTS], h, seen[h]))
+    order.sort()
+    needed = lambda m: math.ceil(least * m - 1e-9)
+    out = set()
+    for k in {1 << max(0, (m // ONE_CLASS).bit_length() - 1) for m in range(max(1, needed(n)), n + 1)}:
+        classes: dict[int, list[int]] = {}
+        for _, h, c in order[: n - needed(n) + k + 1]:
+            classes.setdefault(h % k, []).append((h * 31 + c) & _MASK)
+        for own in classes.values():
+            out.update((x * 0x9E3779B97F4A7C15 + (y ^ x >> 29) * 0xC2B2AE3D27D4EB4F + seed + k) & _MASK for x, y in combinations(own, 2))
+    if needed(n) <= 1:
+        out.update((h * 0x9E3779B97F4A7C15 + seed) & _MASK for _, h, c in order[: n - needed(n) + 1] if c == 1)
+    return [x - (1 << 64) if x >> 63 else x for x in out]
+
+
+def _cells(fill, least: float):
+    @pandas_udf("array<long>")
+    def cells(langs: pd.Series, hashes: pd.Series) -> pd.Series:
+        return pd.Series([cells_of([h & _MASK for h in hs.tolist()], fill.value, least, seed & _MASK) for seed, hs in zip(langs.tolist(), hashes)])
+
+    return cells
 
 
 def prefix_candidates(asked: DataFrame, memory: DataFrame, least: float) -> DataFrame:
-    """(key, id) that may reach a similarity of ``least``, some several times; none that does is left out.
+    """(key, id) that may reach a similarity of ``least``; none that does is left out.
 
-    Similar word lists share at least ``least`` of the longer, so the rarest words of either meet. Rarity is counted in SLOTS
-    hash slots: their table is small whatever the corpus, and any order of slots keeps the search whole.
+    Texts meet by the rarest words they share, two at a time (``cells_of``). Rarity is counted in SLOTS hash slots: their table is
+    small whatever the corpus, and any order of slots keeps the search whole.
     """
-    a = asked.select(F.col("key").alias("who"), F.lit(0).alias("side"), "src_lang", "tgt_lang", numbered(F.col("toks")).alias("els"))
-    m = memory.select(F.col("id").alias("who"), F.lit(1).alias("side"), "src_lang", "tgt_lang", numbered(F.col("toks")).alias("els"))
-    both = a.unionByName(m).where("size(els) > 0")
-    words = both.select("who", "side", "src_lang", "tgt_lang", F.size("els").alias("n"), F.explode("els").alias("el"))
-    fill = m.select(F.explode("els").alias("el")).groupBy(_slot(F.col("el")).alias("slot")).agg(F.count("*").alias("fill"))
-    ranked = words.withColumn("slot", _slot(F.col("el"))).join(F.broadcast(fill), "slot", "left")
-    order = Window.partitionBy("side", "who").orderBy(F.coalesce("fill", F.lit(0)), "slot", "el")
-    keep = F.col("n") - F.ceil(F.col("n") * least) + 1
-    front = ranked.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= keep).select("who", "side", "src_lang", "tgt_lang", "n", "el")
-    x = front.where("side = 0").select(F.col("who").alias("key"), "src_lang", "tgt_lang", F.col("n").alias("nx"), "el")
-    y = front.where("side = 1").select(F.col("who").alias("id"), "src_lang", "tgt_lang", F.col("n").alias("ny"), "el")
-    met = x.join(y, ["src_lang", "tgt_lang", "el"]).where(F.least("nx", "ny") >= F.greatest("nx", "ny") * least)
-    return met.select("key", "id")
+    fill = memory.sparkSession.sparkContext.broadcast(slot_fill(memory))
+    cells = _cells(fill, least)
+    side = lambda df, who, n: df.where("size(toks) > 0").select(F.col(who), F.size("toks").alias(n), F.explode(cells(F.xxhash64("src_lang", "tgt_lang"), F.transform("toks", lambda w: F.xxhash64(w)))).alias("cell"))
+    met = side(asked, "key", "nx").join(side(memory, "id", "ny"), "cell").where(F.least("nx", "ny") >= F.greatest("nx", "ny") * least - 1e-9)
+    return met.select("key", "id").distinct()
 
 
 #: Letters whose marks a full-text index drops; other scripts keep theirs.
@@ -162,7 +205,7 @@ def lookup(asked: DataFrame, memory: DataFrame, least: float = 0.5, limit: int =
         found = bm25_candidates(asked, memory).select("key", "id", F.lit(0).alias("exact"), "place")
     else:
         found = prefix_candidates(asked, memory, least).select("key", "id", F.lit(0).alias("exact"), F.lit(0).alias("place"))
-    both = exact.unionByName(found).groupBy("key", "id").agg(F.max("exact").alias("exact"), F.max("place").alias("place"))
+    both = cut(exact.unionByName(found).groupBy("key", "id").agg(F.max("exact").alias("exact"), F.max("place").alias("place")))
     x = asked.select("key", words_as_hashed_symbols(F.col("toks")).alias("x"), F.size("toks").alias("nx"))
     y = memory.select("id", "use_count", words_as_hashed_symbols(F.col("toks")).alias("y"), F.size("toks").alias("ny"))
     longest = F.greatest("nx", "ny")
