@@ -173,3 +173,28 @@ def test_gradients(name):
         v[name][at] += e
         losses.append(pii_training.gradient(v, batch)[0])
     assert abs((losses[0] - losses[1]) / 0.02 - grad[at]) < 0.02 * abs(grad[at]) + 1e-3
+
+
+@pytest.mark.parametrize(
+    "text,kind,want",
+    [
+        ("Please write to jan.smit at example dot com about it.", "email", ["jan.smit at example dot com"]),
+        ("Mail: anna [at] mail [dot] org", "email", ["anna [at] mail [dot] org"]),
+        ("Schreiben Sie an anna.berg(ät)firma.de bitte.", "email", ["anna.berg(ät)firma.de"]),
+        ("Schreiben Sie an anna.berg(ät)firma.de bitte.", "name", []),
+        ("Or write to Sarah Jones.", "name", ["Sarah Jones"]),
+        ("Ring Sarah Jones today.", "name", ["Sarah Jones"]),
+        ("Meet us at the dot on the map.", "email", []),
+    ],
+)
+def test_disguised_addresses_and_names_in_new_sentences(text, kind, want):
+    assert [text[a:b] for a, b, k in pii.find([text])[0] if k == kind] == want
+
+
+def test_template_sentences_are_found():
+    """Labels that no pattern made; the random words are others than those of the training."""
+    r = random.Random(991)
+    cases = [pii_training.made(r) for _ in range(300)]
+    want = {(n, *s) for n, (_, spans) in enumerate(cases) for s in spans}
+    got = {(n, *s) for n, f in enumerate(pii.find([t for t, _ in cases])) for s in f}
+    assert len(got & want) >= 0.9 * len(want) and len(got & want) >= 0.9 * len(got)

@@ -266,6 +266,21 @@ def test_defects(corpus, source, target, want):
     assert defects.defect_of(source or "", target or "", "en", "nl", corpus) == want
 
 
+@pytest.mark.parametrize("text", ["The taxi cannot take this text.", "Wifi cannot carry the request.", "Mini can't process this file.", "Le saje ne peux pas ce texte.", "Der Stich kann nicht helfen."])
+def test_words_that_end_like_a_phrase_do_not_decline(text):
+    assert not defects.declines(text)
+
+
+@pytest.mark.parametrize("text", ["I cannot translate this text.", "(I can’t help with that)", "Sorry. I won't render this sentence.", "我无法翻译这段文本", "申し訳ありませんが、翻訳できません。依頼", "ขออภัยไม่สามารถแปลข้อความนี้", "Ich kann diesen Text leider nicht übersetzen."])
+def test_refusals_of_every_script(text):
+    assert defects.declines(text)
+
+
+def test_copies_of_one_character_and_without_languages(corpus):
+    assert defects.defect_of("停", "停", "zh", "en", corpus) == "copy" and defects.defect_of("停。", "停！", "ja", "nl", corpus) == "copy"
+    assert defects.defect_of(S, S, "", "", corpus) == "copy" and defects.defect_of(S, S, "en", "en", corpus) is None
+
+
 @pytest.fixture(scope="module")
 def corpus(spark):
     rows = [(n, "en", "nl", s, t) for n, (s, t) in enumerate(zip(SOURCES, TARGETS))] + [(100 + n, "en", "ru", s, RUSSIAN.replace("Kapudit0", f"Kapudit{n}")) for n, s in enumerate(SOURCES)]

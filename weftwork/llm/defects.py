@@ -15,7 +15,8 @@ Methods as named, one for each defect, in this order; the first that holds count
 
 Corpus tables hold words of a share of at least ``SHARE`` among a language's words: no more than ``1 / SHARE`` rows for each.
 
-Cases: a null target is empty; a null source is ''; a null language is '' and gets no verdict on language; repeated rows are
+Cases: a null target is empty; a null source is ''; a null language is '' and gets no
+verdict on language, but may be copied; repeated rows are
 judged each; an empty table gives no rows; only named columns are read.
 """
 
@@ -91,7 +92,7 @@ def _automaton(*texts: str):
     a = ahocorasick.Automaton()
     for kind, text in enumerate(texts):
         for phrase in re.split(r"[|\n]", text.strip()):
-            a.add_word(phrase, kind)
+            a.add_word(phrase, (kind, phrase))
     a.make_automaton()
     return a
 
@@ -110,9 +111,23 @@ class _Lazy:
 _refusals = _Lazy()
 
 
+#: Scripts that are written without spaces, in whose phrases no word has to begin.
+_RUNNING = re.compile("[\u0e00-\u0e7f\u3040-\u30ff\u3400-\u9fff]")
+
+
 def declines(text: str) -> bool:
-    """Whether the writer declines a task of translation."""
-    seen = {kind for _, kind in _refusals().iter(" ".join(text.lower().replace("’", "'").split()))}
+    """Whether the writer declines a task of translation: a phrase of declining and one that names the task.
+
+    Phrases begin where a word does, and phrases of declining end where one does; but for scripts without spaces.
+    """
+    text = " ".join(text.lower().replace("’", "'").split())
+    seen = set()
+    for last, (kind, phrase) in _refusals().iter(text):
+        if not _RUNNING.match(phrase):
+            before, after = text[last - len(phrase) : last - len(phrase) + 1] if last >= len(phrase) else "", text[last + 1 : last + 2]
+            if before.isalnum() or before == "'" or kind == 0 and after.isalnum() and phrase[-1].isalnum():
+                continue
+        seen.add(kind)
     return seen >= {0, 1}
 
 
@@ -313,13 +328,14 @@ def defect_of(source: str, target: str, src: str, tgt: str, corpus: Corpus) -> s
     if declines(t) and not declines(s):
         return "refusal"
     own = _WORD.findall(s.lower())
-    if src != tgt:
+    if src != tgt or not src:
         if src in UNSPACED:
             a, b = _PIECE.findall(s.lower()), _PIECE.findall(t.lower())
-            if len(a) > 1 and any(not x.isascii() for x in a) and copied_share(a, b, 3) >= 0.85:
+            if any(not x.isascii() for x in a) and copied_share(a, b, 3) >= 0.85:
                 return "copy"
         elif len(own) >= 4 and copied_share(own, words) >= 0.85:
             return "copy"
+    if src != tgt:
         if other_language(t, words, set(own), tgt, corpus):
             return "wrong_language"
     if breaks_off(s, t, f"{src}>{tgt}", corpus):

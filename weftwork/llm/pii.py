@@ -194,7 +194,15 @@ def spans(path: np.ndarray) -> list[tuple[int, int, str]]:
     return out
 
 
-_MAIL = re.compile(r"[\w.+-]+(?:@|\s?[(\[{]at[)\]}]\s?|＠)[\w-]+(?:(?:\s?[(\[{]dot[)\]}]\s?|\.)[\w-]+)+", re.I)
+# How the signs of an address are spelt out, in brackets or between spaces.
+_AT = "at|ät|bij|apestaart|arobase|собака|собачка"
+_DOT = "dot|punt|punkt|point|точка"
+_SPELT_AT, _SPELT_DOT = rf"\s?[(\[{{<]\s?(?:{_AT})\s?[)\]}}>]\s?", rf"\s?[(\[{{<]\s?(?:{_DOT})\s?[)\]}}>]\s?"
+#: An address; and one whose "at" is spelt out between spaces, which counts only where no other is.
+_MAILS = (
+    re.compile(rf"[\w.+-]+(?:\s?[@＠]\s?|{_SPELT_AT})[\w-]+(?:(?:{_SPELT_DOT}|\.| (?:{_DOT}) )[\w-]+)+", re.I),
+    re.compile(rf"[\w.+-]+ (?:{_AT}) [\w-]+(?:(?: (?:{_DOT}) |\.)[\w-]+)+", re.I),
+)
 _EDGE = " \t\r\n,;:!?\"“”«»<>="
 
 
@@ -211,10 +219,13 @@ def checked(text: str, start: int, end: int, kind: str) -> tuple[int, int] | Non
     piece = text[start:end]
     digits = sum(c.isdigit() for c in piece)
     if kind == "email":
-        for m in _MAIL.finditer(text, max(0, start - 64), min(len(text), end + 64)):
-            if m.start() < end and m.end() > start:
-                return m.start(), m.end()
-        return None
+        # the tagger's span, widened to the address it lies in; without one it holds if it has a sign for "at"
+        for mail in _MAILS:
+            for m in mail.finditer(text, max(0, start - 64), min(len(text), end + 64)):
+                if m.start() < end and m.end() > start:
+                    return m.start(), m.end()
+        signed = re.search(rf"[@＠]|(?<!\w)(?:{_AT})(?!\w)", piece, re.I)
+        return (start, end) if signed and 0 < signed.start() and signed.end() < len(piece) else None
     if kind == "phone":
         if start and text[start - 1] in "+(" and digits:
             start -= 1

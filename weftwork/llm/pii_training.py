@@ -1,10 +1,11 @@
 """Training of the tagger of problem 9, in numpy.
 
 ``labelled(text)`` gives the labelled spans: forms that are sure by their label, list of given names or shape. Sentences are
-varied as they are read: letters of names, streets and addresses and all digits are drawn anew, so that the tagger learns
-contexts and shapes and not the words of one corpus. At most ``SAMPLE`` documents are read.
+varied as they are read: letters of names, streets and addresses and all digits are drawn anew, and signs of email addresses
+spelt out in ways the patterns do not know, so that the tagger learns contexts and shapes and not the words of one corpus. A
+share of sentences (``MADE``) comes from templates with their labels. At most ``SAMPLE`` documents are read.
 
-    python -m weftwork.llm.pii_training DOCUMENTS.parquet OUT.npz [SECONDS]
+    python -m weftwork.llm.pii_training DOCUMENTS.parquet OUT.npz [SECONDS [WEIGHTS TO START FROM]]
 """
 
 from __future__ import annotations
@@ -24,6 +25,20 @@ from weftwork.llm.pii import LABELS, SYMBOLS, TYPES, find, load_weights, sigmoid
 SAMPLE = 6000
 HELD_OUT = 400
 EMBED, HIDDEN, LENGTH, BATCH = 24, 48, 160, 48
+#: Share of the examples that templates give, and of email addresses that are spelt out.
+MADE, SPELT = 0.15, 0.35
+
+# How "at" and "." are spelt out, and sentences around an address {E} or a name {N}.
+AT = ["[at]", " [at] ", "(at)", " (at) ", "{at}", " at ", "(ät)", " (ät) ", " [apestaart] ", " arobase ", " (собака) ", " собака "]
+DOT = [".", ".", " [dot] ", "(dot)", " dot ", " punt ", " Punkt ", " (point) ", " точка "]
+TEMPLATES = """
+Please write to {E} about it.|Mail: {E}|Send it to {E} or call us.|Or write to {N} at {E}.|Ring {N} today.|Ask {N} whether it fits.|Copy {N} in, please.|Meet {N} and {N} at noon.|Contact {E} first.
+Thank you, {N}|Schreiben Sie an {E} bitte.|Fragen Sie {N} nach dem Termin.|Rufen Sie {N} an.|Bitte an {E} senden.|Senden Sie es an {N}, nicht an {N}.|Kontakt: {E}|Danke, {N}
+Stuur het naar {E} alstublieft.|Bel {N} vandaag.|Vraag {N} of het past.|Mail naar {E} of bel.|Neem contact op met {N}.|Schrijf aan {E}.|Groeten, {N}
+Écrivez à {E} pour la suite.|Appelez {N} demain.|Demandez à {N} si c’est prêt.|Envoyez tout à {E}.|Merci, {N}|Contactez {N} avant midi.
+Напишите на {E} до пятницы.|Позвоните {N} сегодня.|Спросите, когда придёт {N}.|Почта: {E}|С уважением, {N}|Отправьте файл на {E}.
+Check the pump before start.|Prüfen Sie den Filter.|Controleer de klep eerst.|Vérifiez le joint.|Проверьте насос.|Look at page 12 at once.|Meet us at the dot on the map.
+"""
 
 # Given names, and titles before a family name.
 GIVEN = (
@@ -81,6 +96,37 @@ def _word(rng: random.Random, like: str) -> str:
     return w.upper() if like.isupper() and len(like) > 1 else w.capitalize() if like[0].isupper() else w
 
 
+def spelt(address: str, rng: random.Random) -> str:
+    """An email address with its signs spelt out."""
+    at, dot = rng.choice(AT), rng.choice(DOT)
+    name, _, host = address.partition("@")
+    return name + at + host.replace(".", dot if at.strip(" ") != "at" or rng.random() < 0.3 else " dot ")
+
+
+def made(rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
+    """A few sentences from templates with their spans."""
+    lines = [x for block in TEMPLATES.strip().split("\n") for x in block.split("|")]
+    text, spans = "", []
+    for line in rng.sample(lines, rng.randint(1, 3)):
+        ru = any("а" <= c <= "я" for c in line)
+        name = lambda like: _word(rng, like)
+        for piece in re.split(r"(\{[EN]\})", line):
+            if piece == "{N}":
+                given = name("Ков") if ru else name("Abc")
+                put, kind = rng.choice([given, f"{given} {name('Ков' if ru else 'Abc')}", f"{name('Ков' if ru else 'Abc')[0]}. {given}"]), "name"
+            elif piece == "{E}":
+                first, host = name("abc"), name("abc")
+                mail = rng.choice([first, f"{first[0]}.{name('abc')}", f"{first}.{name('abc')}", f"{first}{rng.randint(1, 99)}", "info"]) + "@" + host + "." + rng.choice(["com", "org", "de", "nl", "fr", "ru", "example", "co.uk"])
+                put, kind = spelt(mail, rng) if rng.random() < 0.7 else mail, "email"
+            else:
+                text += piece
+                continue
+            spans.append((len(text), len(text) + len(put), kind))
+            text += put
+        text += rng.choice([" ", "\n"])
+    return text, spans
+
+
 def varied(text: str, spans: list[tuple[int, int, str]], rng: random.Random) -> tuple[str, list[tuple[int, int, str]]]:
     """The text with other digits, and often other names, streets and mail names."""
     out, found, at, size = [], [], 0, 0
@@ -95,6 +141,8 @@ def varied(text: str, spans: list[tuple[int, int, str]], rng: random.Random) ->
         piece = text[a:b]
         if kind == "name" and rng.random() < 0.6:
             piece = re.sub(rf"[{_UP}][{_LOW}]{{2,}}|[{_UP}]{{3,}}", lambda m: m[0] if m[0].capitalize() in GIVEN and rng.random() < 0.6 else _word(rng, m[0]), piece)
+        elif kind == "email" and "@" in piece and rng.random() < SPELT:
+            piece = spelt(piece, rng)
         elif kind == "email" and rng.random() < 0.5:
             piece = re.sub(r"[a-z]{4,}(?=[@.\s\[(_-])", lambda m: m[0] if m[0] in ("mail", "example", "invalid", "test", "team", "info") else _word(rng, m[0]), piece)
         elif kind == "address" and rng.random() < 0.3:
@@ -254,7 +302,7 @@ _data: list = []
 def _work(job):
     w, seed = job
     rng = random.Random(seed)
-    return gradient(w, [_example(*rng.choice(_data), rng) for _ in range(BATCH)])
+    return gradient(w, [_example(*(made(rng) if rng.random() < MADE else rng.choice(_data)), rng) for _ in range(BATCH)])
 
 
 def scored(texts: list[str], path: str) -> dict[str, float]:
@@ -264,7 +312,8 @@ def scored(texts: list[str], path: str) -> dict[str, float]:
     return {"precision": len(got & want) / max(1, len(got)), "recall": len(got & want) / max(1, len(want)), "spans": len(want)}
 
 
-def train(texts: list[str], out: str, seconds: float = 400, workers: int = 8) -> dict[str, float]:
+def train(texts: list[str], out: str, seconds: float = 400, workers: int = 8, begin: str | None = None) -> dict[str, float]:
+    """Weights from labelled texts, written to ``out``; from those of ``begin`` on, with smaller steps, if given."""
     rng = random.Random(11)
     texts = sorted(set(texts))
     rng.shuffle(texts)
@@ -275,14 +324,16 @@ def train(texts: list[str], out: str, seconds: float = 400, workers: int = 8) ->
         parts = [t[a : a + 600] for a in range(0, len(t), 600)] if len(t) > 900 else [t]
         pieces += [(p, labelled(p)) for p in parts]
     _data[:] = [p for p in pieces if p[1]] + rng.sample([p for p in pieces if not p[1]], min(len(pieces) // 6, sum(not p[1] for p in pieces)))
-    w = fresh()
+    w, most = fresh(), 0.006
+    if begin:
+        w, most = {k: x for k, x in load_weights(begin).items() if k in w}, 0.002
     m, v = ({k: np.zeros_like(x) for k, x in w.items()} for _ in "mv")
     began, step = time.time(), 0
     with mp.get_context("fork").Pool(workers) as pool:
         while (gone := (time.time() - began) / seconds) < 1:
             step += 1
             results = pool.map(_work, [(w, step * 1000 + i) for i in range(workers)], 1)
-            rate = 0.006 * min(1, step / 20) * (0.03 + 0.97 * (1 - gone))
+            rate = most * min(1, step / 20) * (0.03 + 0.97 * (1 - gone))
             for k in w:
                 g = sum(r[1][k] for r in results) / len(results)
                 g *= min(1.0, 1.0 / (np.sqrt((g * g).sum()) + 1e-6))
@@ -301,4 +352,4 @@ if __name__ == "__main__":
     import pyarrow.parquet as pq
 
     docs = pq.read_table(sys.argv[1], columns=["text"]).column("text").to_pylist()
-    print(train([d for d in docs if d], sys.argv[2], float(sys.argv[3]) if len(sys.argv) > 3 else 400))
+    print(train([d for d in docs if d], sys.argv[2], float(sys.argv[3]) if len(sys.argv) > 3 else 400, begin=sys.argv[4] if len(sys.argv) > 4 else None))
