@@ -64,6 +64,40 @@ def test_upload_by_extension(spark):
         upload.units(spark.createDataFrame([(1, "a.doc", b"")], "id long, name string, content binary")).collect()
 
 
+def test_upload_refuses_what_gives_no_unit(spark):
+    import importlib.util
+
+    docs = lambda *rows: spark.createDataFrame(list(rows), "id long, name string, content binary")
+    for name, content in (("a.xliff", b"<xliff version='1.2'/>"), ("b.xlf", b"no xml"), ("c.txt", b" \n\n "), ("d.txt", None)):
+        with pytest.raises(Exception, match="no units in document"):
+            upload.units(docs((1, name, content))).collect()
+    why = "reading PDF needs pypdf" if importlib.util.find_spec("pypdf") is None else "unreadable PDF"
+    with pytest.raises(Exception, match=why):
+        upload.units(docs((1, "e.PDF", b"%PDF-1.4"))).collect()
+
+
+def test_counts_of_imports_and_of_filled_segments(spark):
+    pairs = spark.createDataFrame([("a", "b"), ("a", "b"), (" ", "b"), (None, "b")], "source string, target string")
+    assert tuple(pipelines.import_counts(pairs).first()) == (4, 2)
+    seg = spark.createDataFrame([(1, 1, "new", ""), (2, 1, "new", None), (3, 1, "draft", ""), (4, 2, "new", "x")], "id long, file_id long, state string, target string")
+    assert [tuple(r) for r in pipelines.filled_counts(seg, spark.createDataFrame([(2,)], "id long")).collect()] == [(1, 2, 1)]
+
+
+def test_late_events_are_let_go(spark, tmp_path):
+    """Three files in order of arrival: the last brings one event within the lateness, one beyond it, and a repeat of each kind."""
+    rows = "event_id long, segment_id long, ts timestamp, arrived_at timestamp, target string, state string"
+    parts = [["(1, '2024-01-01')", "(2, '2024-01-02')"], ["(3, '2024-01-20')"], ["(4, '2024-01-19')", "(5, '2024-01-03')", "(3, '2024-01-20')"]]
+    folder = tmp_path / "confirm_events.parquet"
+    for n, part in enumerate(parts):
+        df = spark.sql(f"select cast(e as long) event_id, 1L segment_id, cast(ts as timestamp) ts, cast(ts as timestamp) arrived_at, 'x' target, 'draft' state from values {', '.join(part)} as t(e, ts)")
+        df.to(spark.createDataFrame([], rows).schema).coalesce(1).write.mode("append").parquet(str(folder))
+        stream = learning.events_stream(spark, str(tmp_path), "confirm_events.parquet")
+        seen = learning.run_once(learning.once(stream, "7 days").select("event_id"), str(tmp_path / "once"), "append")
+        days = learning.run_once(learning.counted(stream, "7 days"), str(tmp_path / "days"), "append")
+    assert sorted(r.event_id for r in seen.collect()) == [1, 2, 3, 4]
+    assert {(r.day, r.arrivals) for r in days.collect()} == {("2024-01-01", 1), ("2024-01-02", 1)}
+
+
 def test_services_are_optional(spark):
     pairs = spark.createDataFrame([(1, "Hello", "en"), (2, None, "en"), (3, "x", "zz")], "id long, target string, tgt_lang string")
     assert services.grammar_issues(pairs, "http://127.0.0.1:9", 0.2).count() == 0

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import importlib.util
 from collections.abc import Iterator
 
 import pandas as pd
@@ -39,13 +40,15 @@ def exported(segments: DataFrame) -> DataFrame:
     return exported_parts(segments).groupBy("file_id").agg(F.array_join(F.transform(parts, lambda x: x["content"]), "\n").alias("content"))
 
 
-def pdf_texts(documents: DataFrame, key: str) -> DataFrame:
-    """(key, text, error) of (key, content as bytes): pages with text, joined by blank lines. Needs the optional package pypdf."""
-    import importlib.util
-
+def _needs_pypdf() -> None:
     if importlib.util.find_spec("pypdf") is None:
         raise ImportError("reading PDF needs pypdf")
 
+
+def pdf_texts(documents: DataFrame, key: str) -> DataFrame:
+    """(key, text, error) of (key, content as bytes): pages with text, joined by blank lines. Needs the optional package pypdf."""
+    _needs_pypdf()
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import io
 
@@ -70,4 +73,5 @@ def pdf_texts(documents: DataFrame, key: str) -> DataFrame:
 
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     """(path, text, error) of PDF files."""
+    _needs_pypdf()
     return pdf_texts(spark.read.format("binaryFile").load(path), "path")
