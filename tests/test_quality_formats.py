@@ -173,3 +173,17 @@ def test_text_export_and_optional_pdf(spark):
     if importlib.util.find_spec("pypdf") is None:
         with pytest.raises(ImportError):
             plain.read_pdf(spark, "/nowhere")
+
+
+def test_long_documents_align_in_little_time():
+    import random
+    import time
+
+    r = random.Random(11)
+    a = [max(3, int(r.gauss(90, 30))) for _ in range(6000)]
+    b = [max(1, int(x * r.gauss(1.1, 0.15))) for x in a]
+    b[3000:3001] = [b[3000] // 2, b[3000] - b[3000] // 2]
+    began = time.time()
+    found = align.beads(a, b)
+    assert time.time() - began < 6 and found[0] == (0, 1, 0, 1) and found[-1] == (5999, 6000, 6000, 6001)
+    assert all(x[1] == y[0] and x[3] == y[2] for x, y in zip(found, found[1:]))
