@@ -73,6 +73,21 @@ def test_prefix_search_loses_nothing(spark):
     assert got == want
 
 
+def test_search_does_not_grow_with_texts_of_one_phrase(spark):
+    pairs = [(f"store a{n} apart from b{n % 150} under number {n % 7}", str(n)) for n in range(300)]
+    texts = [f"store c{n} apart from b{n} under number x{n}" for n in range(100)]
+    mem = memory.upsert_units(units(spark, pairs))
+    ask = asked(spark, *texts)
+    toks = lambda df, c: df.withColumn("toks", X.tokens_of_plain(F.col(c)))
+    assert memory.prefix_candidates(memory.keyed(ask), toks(mem, "source"), 0.5, 3).count() <= 100 * (3 + 2)
+    got = {}
+    for r in memory.lookup(ask, mem, 0.5, 3).collect():
+        got.setdefault(r.plain, {})[r["rank"]] = r.id
+    for q in texts:
+        scored = sorted((-round(1 - word_distance(q.split(), t.split()) / 8, 4), n) for n, (t, _) in enumerate(pairs, 1))
+        assert got[q] == {k: n for k, (_, n) in enumerate(scored[:3], 1)}
+
+
 def test_bm25_mode_and_ties_go_by_id(spark):
     pairs = [("alpha beta", "1"), ("alpha gamma", "2"), ("alpha delta", "3")]
     found = memory.lookup(asked(spark, "alpha omega"), memory.upsert_units(units(spark, pairs)), mode="bm25").orderBy("rank").collect()
