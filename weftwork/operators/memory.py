@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.functions import pandas_udf
 
 from weftwork.functions.text import collapse, norm_lang, strip_tags, tokens_of_plain, words_as_hashed_symbols, words_as_symbols
-from weftwork.session import cut
+from weftwork.session import cut, release
 
 #: Slots in which words are counted to order them by rarity: the table that is broadcast has a byte each.
 SLOTS = 1 << 20
@@ -277,7 +277,9 @@ def prefix_candidates(asked: DataFrame, memory: DataFrame, least: float, limit:
     pair = F.xxhash64("src_lang", "tgt_lang").alias("pair")
     side = lambda df, *own: df.where("size(toks) > 0").select(*own, pair, F.size("toks").alias("n"), marks(word_hashes()).alias("m")).select(*own, "pair", "n", "m.*").withColumn("shape_id", F.xxhash64("pair", "shape"))
     ask, mem = cut(side(asked, "key")), cut(side(memory, "id", "use_count"))
+    release(memory.sparkSession)
     best = cut(_best_by_shape(ask, mem, least, limit))
+    release(memory.sparkSession)
     last = best.groupBy("shape_id").agg(F.when(F.count("*") >= limit, F.greatest(F.lit(least), F.min("score") - 1e-4)).otherwise(F.lit(least)).alias("least"))
     xs = ask.join(last, "shape_id", "left").select("key", F.col("n").alias("nx"), F.col("bits").alias("x_bits"), F.coalesce("least", F.lit(least)).alias("least"), F.explode("cells").alias("cell"))
     ys = mem.select("id", F.col("n").alias("ny"), F.col("bits").alias("y_bits"), F.explode("cells").alias("cell"))
@@ -333,6 +335,8 @@ def lookup(asked: DataFrame, memory: DataFrame, least: float = 0.5, limit: int =
     else:
         found = prefix_candidates(asked, memory, least, limit).select("key", "id", F.lit(0).alias("exact"), F.lit(0).alias("place"))
     both = cut(exact.unionByName(found).groupBy("key", "id").agg(F.max("exact").alias("exact"), F.max("place").alias("place")))
+    del exact, found
+    release(memory.sparkSession)
     x = asked.select("key", words_as_hashed_symbols(F.col("toks")).alias("x"), F.size("toks").alias("nx"))
     y = memory.select("id", "use_count", words_as_hashed_symbols(F.col("toks")).alias("y"), F.size("toks").alias("ny"))
     longest = F.greatest("nx", "ny")
@@ -342,6 +346,7 @@ def lookup(asked: DataFrame, memory: DataFrame, least: float = 0.5, limit: int =
     bounded = both.join(x, "key").join(y, "id").withColumn("d", distance).withColumn("bound", bound).where(F.col("bound") >= least)
     order = Window.partitionBy("key").orderBy(F.desc(F.bround("bound", 4)), F.desc("use_count"), F.desc("exact"), "place", "id")
     best = cut(bounded.select("key", "id", "exact", "place", "bound", "use_count").withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit))
+    release(memory.sparkSession)
     texts = memory.select("id", "source", "target", F.col("toks").alias("m_toks"))
     full = best.join(asked.select("key", "src_lang", "tgt_lang", "plain", "toks"), "key").join(texts, "id")
     symbols = lambda c: F.transform(c, lambda w: F.xxhash64(w).bitwiseAND(F.lit(0xFFFFF)))
