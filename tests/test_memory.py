@@ -1,9 +1,11 @@
+import math
 import random
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from weftwork.functions import text as X
-from weftwork.operators import learn, lexicon, memory, suggest, volume
+from weftwork.operators import fulltext, learn, lexicon, memory, suggest, volume
 
 PARTS = {"pump": "насос", "valve": "клапан", "filter": "фильтр"}
 FAULTS = {"leaks": "течёт", "rattles": "гремит", "overheats": "греется"}
@@ -94,6 +96,64 @@ def test_bm25_mode_and_ties_go_by_id(spark):
     assert [r.id for r in found] == [1, 2, 3] and {r.percent for r in found} == {50}
 
 
+def naive_bm25(texts, query, limit):
+    """[(id, score)] best first, of texts of one language pair."""
+    docs = [t.split() for t in texts]
+    longest = sorted(set(query.split()), key=lambda w: (-len(w), w))[:12]
+    mean, out = sum(map(len, docs)) / len(docs), {}
+    for w in longest:
+        df = sum(w in d for d in docs)
+        idf = math.log((len(docs) - df + 0.5) / (df + 0.5))
+        for n, d in enumerate(docs, 1):
+            if tf := d.count(w):
+                out[n] = out.get(n, 0) + (idf if idf > 0 else 1e-6) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(d) / mean))
+    return sorted(((n, -round(v, 9)) for n, v in out.items()), key=lambda x: (x[1], x[0]))[:limit]
+
+
+def test_full_text_search_in_blocks_and_parts(spark, monkeypatch):
+    r = random.Random(11)
+    word = lambda: r.choice(["store", "apart", "number"]) if r.random() < 0.6 else f"w{r.randint(0, 60)}"
+    texts = list(dict.fromkeys(" ".join(word() for _ in range(r.randint(1, 9))) for _ in range(400)))
+    mem = memory.upsert_units(units(spark, [(t, "x") for t in texts]))
+    asks = list(dict.fromkeys([*(" ".join(word() for _ in range(r.randint(1, 16))) for _ in range(60)), *texts[:5], "unheard of"]))
+    for block, part in ((1 << 18, 1 << 16), (37, 13)):
+        for name, value in {"AT_ONCE": 7, "BLOCK": block, "PART": part, "PART_LEAST": 20, "COMMON_DF": 9}.items():
+            monkeypatch.setattr(memory, name, value)
+        got = {}
+        for x in memory.bm25_candidates(memory.keyed(asked(spark, *asks)), mem).orderBy("plain", "place").collect():
+            got.setdefault(x.plain, []).append((x.id, x.bm25))
+        want = {q: naive_bm25(texts, q, 80) for q in asks}
+        assert {q: [n for n, _ in v] for q, v in got.items()} == {q: [n for n, _ in v] for q, v in want.items() if v}
+        assert all(abs(a - b) < 2e-9 for q in got for (_, a), (_, b) in zip(got[q], want[q]))
+        found = {}
+        for x in memory.lookup(asked(spark, *asks), mem, 0.5, 3, "bm25").orderBy("plain", "rank").collect():
+            found.setdefault(x.plain, []).append((x.id, x.score))
+        for q in asks:
+            a = q.split()
+            scored = [(-round(1 - word_distance(a, texts[n - 1].split()) / max(len(a), len(texts[n - 1].split())), 4), place, n) for place, (n, _) in enumerate(want[q])]
+            assert found.get(q, []) == [(n, -s) for s, _, n in sorted(x for x in scored if x[0] <= -0.5)[:3]]
+
+
+def test_full_text_search_scores_a_shape_once():
+    r = np.random.default_rng(3)
+    n = 3000
+    terms = np.column_stack([np.tile([1, 2, 3], (n, 1)), r.permutation(n) + 100]).ravel()
+    known, df = np.array([1, 2, 3, *range(100, 100 + n)]), np.array([n] * 3 + [1] * n)
+    block = fulltext.Block(terms, np.full(n, 4), known, df, 4 * n, 4.0, 50)
+    assert len(block.members) == 1 and sum(len(docs) for docs, _ in block.shapes) == 3
+    size, docs, _ = block.best(np.column_stack([np.tile([0, 1, 2], (n, 1)), np.arange(n) + 3]).ravel(), np.full(n, 4), 2)
+    assert (size == 2).all() and (terms.reshape(n, 4)[docs[::2], 3] == np.arange(n) + 100).all() and set(docs[1::2]) <= {0, 1}
+
+
+def test_word_distances_of_many_pairs():
+    r = random.Random(4)
+    texts = [[r.randint(0, 3) for _ in range(n)] for n in [*range(40), 300, 700] * 2]
+    flat, sizes = np.array(sum(texts, [])), np.array([len(t) for t in texts])
+    at, (a, b) = fulltext.starts_of(sizes)[:-1], np.array([(i, (i * 7 + 3) % len(texts)) for i in range(len(texts))]).T
+    got = fulltext.distances(flat, at[a], sizes[a], flat, at[b], sizes[b])
+    assert got.tolist() == [word_distance(texts[i], texts[j]) for i, j in zip(a, b)]
+
+
 def test_concordance_folds_ascii_only(spark):
     mem = units(spark, [("Red CAT", "Кот"), ("blue dog", "кот 100%")])
     ids = lambda q: [r.id for r in memory.concordance(mem, q, "en", "ru").collect()]

@@ -90,7 +90,7 @@ def _exact(s: SparkSession, d: str) -> DataFrame:
 def _bm25(s: SparkSession, d: str) -> DataFrame:
     asked = memory.keyed(_asked(s, d))
     best = memory.bm25_candidates(asked, _memory(s, d))
-    return best.join(asked, "key").select("src_lang", "tgt_lang", "plain", "id", F.round("bm25", 6).alias("bm25"), "place")
+    return best.select("src_lang", "tgt_lang", "plain", "id", F.round("bm25", 6).alias("bm25"), "place")
 
 
 def _bands(mode: str) -> Query:
